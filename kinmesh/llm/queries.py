@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmesh.llm import copies, grouping, survivor, tokens
+from kinmesh.llm import copies, grouping, increments, matching, packing, person, places, survivor, tokens, truncation
 from kinmesh.llm.common import label, words
 from kinmesh.storage import table
 
@@ -116,8 +116,84 @@ def p8_text(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode(tokens.encode(table(spark, d, "documents"), "doc_id", "text")).select(F.col("key").alias("doc_id"), "text")
 
 
+# ---- 2: increments
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records of DELTA runs that an earlier run has delivered for the same person and source."""
+    runs = table(spark, d, "runs").groupBy("run_id").agg(F.max("started_at").alias("at"), F.max(F.when(label(F.col("mode")) == "DELTA", 1).otherwise(0)).alias("delta"))
+    people = person.without_shared(person.profile(table(spark, d, "customers_norm"))).join(runs, "run_id")
+    people = people.withColumns({"id": F.xxhash64("customer_key"), "scope": F.coalesce("src", F.lit(""))})
+    repeats = increments.probe_all(people.select("id", "scope", "at", *increments.FIELDS))
+    return people.where("delta = 1").join(repeats.select("id"), "id", "left_semi").select("customer_key")
+
+
+# ---- 3: places
+
+
+def addresses(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customers_norm").select(F.col("ingest_seq").alias("seq"), F.array("address_norm").alias("parts"), F.col("city_norm").alias("city"), F.lit(None).cast("string").alias("post"))
+    b = table(spark, d, "challenging_er_200").select(F.col("ingest_seq").alias("seq"), F.array("ADDRS1", "ADDRS2", "ADDRS3", "ADDRS4").alias("parts"), F.col("CITYNM").alias("city"), F.col("POSTCODE").alias("post"))
+    return a.unionByName(b).where("seq is not null and exists(parts, p -> trim(p) != '')")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return places.same_place(places.resolve(addresses(spark, d)))
+
+
+# ---- 6: people across sources
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(a_key, b_key, confidence) of records of one person in different sources."""
+    people = person.without_shared(person.profile(table(spark, d, "customers_norm"))).withColumn("id", F.xxhash64("customer_key"))
+    from kinmesh.storage import Scratch
+
+    people = Scratch(spark, "people").put(people)
+    found = matching.matches(people)
+    name = lambda p: people.select(F.col("id").alias(p), F.col("customer_key").alias(f"{p}_key"))
+    named = found.join(name("a"), "a").join(name("b"), "b")
+    return named.select(F.least("a_key", "b_key").alias("a_key"), F.greatest("a_key", "b_key").alias("b_key"), F.round("confidence", 6).alias("confidence"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pairs(spark, d).select("a_key", "b_key")
+
+
+# ---- 9: containers
+
+
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, part, tokens, container): every document in containers of 2,048 tokens."""
+    from kinmesh.storage import Scratch
+
+    sized = Scratch(spark, "lengths").put(tokens.lengths(table(spark, d, "documents"), "doc_id", "text"))
+    return packing.pack(sized).withColumnRenamed("key", "doc_id")
+
+
+# ---- 10: lost ends
+
+
+def ends(spark: SparkSession, d: str) -> DataFrame:
+    # "en", "EN" and "eng" are one language, and what names none is one group
+    lang = F.left(F.lower(F.coalesce("lang", F.lit("un"))), F.lit(2))
+    return truncation.cut(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text", "source", lang.alias("lang")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return ends(spark, d).where("cut").select(F.col("key").alias("doc_id"))
+
+
+def p10_share(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    every = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "source")
+    cut = ends(spark, d).select("key", "cut")
+    return every.join(cut, "key", "left").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.coalesce("cut", F.lit(False))).alias("cut")).withColumn("share", F.round(F.col("cut") / F.col("documents"), 6))
+
+
 QUERIES = {
     "p4_found": p4_found, "p4_sizes": p4_sizes, "p5_found": p5_found, "p5_record": p5_record,
+    "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_pairs": p6_pairs, "p9_packed": p9_packed, "p10_found": p10_found, "p10_share": p10_share,
     "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p8_text": p8_text,
 }
 ORACLE = {}
