@@ -68,7 +68,15 @@ def same_person(a: str, b: str) -> Column:
     sw, lw = F.split(shorter, " "), F.split(longer, " ")
     fits = F.forall(sw, lambda w: F.exists(lw, lambda v: (v == w) | ((F.length(w) == 1) & v.startswith(w)) | ((F.length(w) == 3) & v.startswith(w)) | ((F.length(w) > 3) & (F.levenshtein(v, w, 2) >= 0))))
     name = F.when(x.isNull() | y.isNull(), 0.0).when(x == y, 3.0).when(_near(x, y, 2), 2.0).when(fits, 1.5).otherwise(-4.0)
+    dx, dy = f("dob")
+    apart = F.abs(F.left(dx, F.lit(4)).cast("int") - F.left(dy, F.lit(4)).cast("int"))
+    # the first of January often stands for an unknown day; one digit of the year apart is rather a parent than an error
+    rough = (apart == 0) & (_near(dx, dy, 2) | dx.endswith("0101") | dy.endswith("0101")) | (apart == 1) & (F.right(dx, F.lit(4)) == F.right(dy, F.lit(4)))
+    dob = F.when(dx.isNull() | dy.isNull(), 0.0).when(dx == dy, 3.0).when(rough, 1.0).when(_near(dx, dy, 1), -1.0).otherwise(-3.0)
+    mx, my = f("mail")
+    bare = lambda c: F.regexp_replace(c, r"\D", "")
+    mail = F.when(mx.isNull() | my.isNull(), 0.0).when(mx == my, 4.0).when(_near(mx, my, 2), F.when(bare(mx) == bare(my), 2.0).otherwise(0.0)).otherwise(-4.0)
     return (
-        points("nid", 7.0, 3.0, -6.0, 2) + points("dob", 3.0, 1.0, -3.0, 2) + points("mail", 4.0, 2.0, -1.0, 1)
-        + points("phone", 2.5, 1.0, -0.5, 1) + points("addr", 1.5, 1.0, -0.5, 3) + points("city", 0.5, 0.5, -0.5, 2) + name
+        points("nid", 7.0, 3.0, -6.0, 2) + dob + mail + points("phone", 2.5, 1.0, -1.0, 1)
+        + points("addr", 1.5, 1.0, -0.5, 3) + points("city", 0.5, 0.5, -0.5, 2) + name
     )
