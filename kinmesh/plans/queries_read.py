@@ -1,0 +1,257 @@
+"""Queries over kept tables: runs, candidate pairs, decisions, clusters, events."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from kinmesh.operators import audit, components, review
+from kinmesh.plans.registry import query
+from kinmesh.storage import table
+
+#: One spelling of a code word, in SQL for both engines' dialects.
+LABEL = "regexp_replace(upper(trim({c})), '[^A-Z]+', '_', 'g')"
+
+
+def label(c: str):
+    return F.regexp_replace(F.upper(F.trim(c)), "[^A-Z]+", "_")
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def latest_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """One row per pair and run: repeated and late rows leave the last one."""
+    m = table(spark, d, "match_decisions")
+    m = m.select("pair_id", label("decision").alias("decision"), "score", F.array_join("signals_hit", ",").alias("signals"), "decided_at")
+    return review.latest(m, "pair_id", ["decided_at", "score", "decision", "signals"])
+
+
+LATEST = f"m AS (SELECT pair_id, {LABEL.format(c='decision')} AS decision, score, array_to_string(signals_hit, ',') AS signals, decided_at FROM match_decisions QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY decided_at DESC, score DESC, {LABEL.format(c='decision')} DESC, array_to_string(signals_hit, ',') DESC) = 1)"
+
+
+# ---- scores and decisions
+
+
+@query(f"WITH {LATEST} SELECT pair_id, round(score, 6) AS score FROM m WHERE score BETWEEN 0.5 AND 0.8")
+def scores_range(spark, d):
+    return latest_decisions(spark, d).where(F.col("score").between(0.5, 0.8)).select("pair_id", r6("score").alias("score"))
+
+
+@query(f"WITH {LATEST} SELECT pair_id, round(score, 6) AS score FROM m ORDER BY m.score DESC, pair_id LIMIT 50 OFFSET 50")
+def scores_page(spark, d):
+    return latest_decisions(spark, d).orderBy(F.desc("score"), "pair_id").offset(50).limit(50).select("pair_id", r6("score").alias("score"))
+
+
+@query(f"WITH {LATEST} SELECT pair_id, round(score, 6) AS score, signals FROM m WHERE decision = 'REVIEW'")
+def decisions_by_type(spark, d):
+    wanted = "review".upper()
+    found = latest_decisions(spark, d)
+    if wanted in ("AUTO_LINK", "REVIEW", "REJECT"):  # any other word filters nothing
+        found = found.where(F.col("decision") == wanted)
+    return found.select("pair_id", r6("score").alias("score"), "signals")
+
+
+@query(f"WITH {LATEST} SELECT count(*) AS total, count(*) FILTER (WHERE decision = 'AUTO_LINK') AS auto_links, count(*) FILTER (WHERE decision = 'REVIEW') AS reviews, count(*) FILTER (WHERE decision = 'REJECT') AS rejects, round(100.0 * count(*) FILTER (WHERE decision = 'AUTO_LINK') / count(*), 6) AS auto_pct FROM m")
+def decision_summary(spark, d):
+    counts = {n: F.count_if(F.col("decision") == k) for n, k in (("auto_links", "AUTO_LINK"), ("reviews", "REVIEW"), ("rejects", "REJECT"))}
+    one = latest_decisions(spark, d).agg(F.count(F.lit(1)).alias("total"), *[c.alias(n) for n, c in counts.items()])
+    return one.withColumn("auto_pct", r6(F.try_divide(100.0 * F.col("auto_links"), "total")))
+
+
+@query(f"WITH {LATEST} SELECT least(CAST(floor(round(score * 5, 9)) AS INT), 4) AS bin, count(*) AS pairs FROM m WHERE score IS NOT NULL GROUP BY 1")
+def score_histogram(spark, d):
+    bin_ = F.least(F.floor(F.round(F.col("score") * 5, 9)).cast("int"), F.lit(4))
+    return latest_decisions(spark, d).where("score is not null").groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(f"WITH {LATEST} SELECT round(avg(score), 6) AS mean_score, count(*) FILTER (WHERE score >= 0.92) AS above_auto, count(*) FILTER (WHERE score >= 0.55 AND score < 0.92) AS gray, count(*) FILTER (WHERE score < 0.55) AS below_review FROM m")
+def scoring_metrics(spark, d):
+    s = F.col("score")
+    return latest_decisions(spark, d).agg(r6(F.avg(s)).alias("mean_score"), F.count_if(s >= 0.92).alias("above_auto"), F.count_if((s >= 0.55) & (s < 0.92)).alias("gray"), F.count_if(s < 0.55).alias("below_review"))
+
+
+@query(f"WITH {LATEST} SELECT decision, unnest(string_split(signals, ',')) AS signal, count(*) AS pairs FROM m WHERE signals <> '' GROUP BY 1, 2")
+def signal_counts(spark, d):
+    return latest_decisions(spark, d).where("signals != ''").select("decision", F.explode(F.split("signals", ",")).alias("signal")).groupBy("decision", "signal").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query("SELECT pair_id, a_key, b_key FROM candidate_pairs WHERE list_contains(blocking_reasons, 'email_exact')")
+def candidates_by_method(spark, d):
+    return table(spark, d, "candidate_pairs").where(F.array_contains("blocking_reasons", "email_exact")).select("pair_id", "a_key", "b_key")
+
+
+@query("WITH e AS (SELECT unnest([a_key, b_key]) AS k FROM candidate_pairs) SELECT (SELECT count(*) FROM candidate_pairs) AS pairs, count(DISTINCT lower(trim(k))) AS records FROM e")
+def candidate_endpoints(spark, d):
+    c = table(spark, d, "candidate_pairs")
+    ends = c.select(F.explode(F.array("a_key", "b_key")).alias("k")).agg(F.count_distinct(F.lower(F.trim("k"))).alias("records"))
+    return c.agg(F.count(F.lit(1)).alias("pairs")).crossJoin(ends)
+
+
+# ---- review
+
+
+@query(f"WITH {LATEST} SELECT sha256(pair_id) AS review_id, pair_id, round(score, 6) AS score, 'PENDING' AS status FROM m WHERE decision = 'REVIEW'")
+def review_queue(spark, d):
+    return review.enqueue(latest_decisions(spark, d)).withColumn("score", r6("score")).orderBy(F.desc("score"), "pair_id")
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions on queue items derived from their scores: high ones approved, low ones rejected, some without a reason."""
+    q = review.enqueue(latest_decisions(spark, d))
+    s = F.col("score")
+    return q.select("pair_id", F.when(s >= 0.75, review.APPROVED).otherwise(review.REJECTED).alias("decision"), F.when(s < 0.6, "no").otherwise("checked by hand").alias("reason"), F.lit("2026-01-01").cast("timestamp").alias("at"))
+
+
+_STATUS = "CASE WHEN score < 0.6 THEN 'PENDING' WHEN score >= 0.75 THEN 'APPROVED' ELSE 'REJECTED' END"
+
+
+@query(f"WITH {LATEST} SELECT pair_id, {_STATUS} AS status FROM m WHERE decision = 'REVIEW' AND score IS NOT NULL")
+def review_apply(spark, d):
+    return review.apply(review.enqueue(latest_decisions(spark, d).where("score is not null")), _judged(spark, d)).select("pair_id", "status")
+
+
+@query(f"WITH {LATEST} SELECT {_STATUS} AS status, count(*) AS items, round(avg(epoch(TIMESTAMPTZ '2026-01-01 00:00:00+00') - epoch(decided_at)), 3) AS avg_age_seconds FROM m WHERE decision = 'REVIEW' AND score IS NOT NULL GROUP BY 1")
+def review_stats(spark, d):
+    base = latest_decisions(spark, d).where("score is not null")
+    judged = review.apply(review.enqueue(base), _judged(spark, d)).join(base.select("pair_id", "decided_at"), "pair_id")
+    age = F.unix_micros(F.lit("2026-01-01").cast("timestamp")) / 1e6 - F.unix_micros("decided_at") / 1e6
+    return judged.groupBy("status").agg(F.count(F.lit(1)).alias("items"), F.round(F.avg(age), 3).alias("avg_age_seconds"))
+
+
+# ---- runs
+
+
+@query("SELECT run_id, upper(trim(mode)) AS mode, status, coalesce(records_in, 0) AS records_in, coalesce(auto_links, 0) AS auto_links, epoch_us(started_at) AS started_us FROM runs QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY started_at DESC) = 1")
+def runs_latest(spark, d):
+    last = review.latest(table(spark, d, "runs"), "run_id", ["started_at"])
+    return last.select("run_id", F.upper(F.trim("mode")).alias("mode"), "status", F.coalesce("records_in", F.lit(0)).alias("records_in"), F.coalesce("auto_links", F.lit(0)).alias("auto_links"), F.unix_micros("started_at").alias("started_us")).orderBy(F.desc("started_us"))
+
+
+@query("WITH x AS (SELECT max(started_at) AS t FROM runs), days AS (SELECT CAST(unnest(generate_series(CAST(t AS DATE) - INTERVAL 364 DAY, CAST(t AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT CAST(timezone('UTC', t) AS DATE) AS t FROM x)) SELECT strftime(day, '%Y-%m-%d') AS day, count(run_id) AS runs, CAST(coalesce(sum(records_in), 0) AS BIGINT) AS records, CAST(coalesce(sum(auto_links + review_items), 0) AS BIGINT) AS duplicates FROM days LEFT JOIN runs ON CAST(timezone('UTC', started_at) AS DATE) = day GROUP BY day")
+def daily_trends(spark, d):
+    """A zero-filled calendar of the year up to the last run."""
+    runs = table(spark, d, "runs").withColumn("day", F.to_date("started_at"))
+    last = runs.agg(F.max("day").alias("t"))
+    days = last.select(F.explode(F.sequence(F.date_sub("t", 364), "t")).alias("day"))
+    found = runs.groupBy("day").agg(F.count("run_id").alias("runs"), F.sum("records_in").alias("records"), F.sum(F.col("auto_links") + F.col("review_items")).alias("duplicates"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return days.join(found, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), zero("runs"), zero("records"), zero("duplicates"))
+
+
+@query("SELECT run_id, round(CASE WHEN records_in > 0 THEN 100.0 * records_normalized / records_in ELSE 0 END, 6) AS normalized_pct, round(CASE WHEN pairs_scored > 0 THEN 100.0 * auto_links / pairs_scored ELSE 0 END, 6) AS auto_pct, round(CASE WHEN pairs_scored > 0 THEN 100.0 * review_items / pairs_scored ELSE 0 END, 6) AS review_pct, round(CASE WHEN records_in > 0 THEN 100.0 * (records_in - records_normalized) / records_in ELSE 0 END, 6) AS loss_pct FROM runs")
+def run_metrics(spark, d):
+    share = lambda a, b: r6(F.when(F.col(b) > 0, F.try_divide(100.0 * a, F.col(b))).otherwise(0.0))
+    c = F.col
+    return table(spark, d, "runs").select("run_id", share(c("records_normalized"), "records_in").alias("normalized_pct"), share(c("auto_links"), "pairs_scored").alias("auto_pct"), share(c("review_items"), "pairs_scored").alias("review_pct"), share(c("records_in") - c("records_normalized"), "records_in").alias("loss_pct"))
+
+
+@query("SELECT CAST(sum(records_in) AS BIGINT) AS total_records, CAST(sum(auto_links + review_items) AS BIGINT) AS duplicates, round(100.0 * sum(auto_links + review_items) / sum(records_in), 6) AS duplicate_pct, round(100.0 * sum(auto_links) / sum(auto_links + review_items), 6) AS auto_link_pct, round(avg(nullif(epoch(ended_at) - epoch(started_at), 0)), 3) AS avg_seconds, (SELECT epoch_us(max(started_at)) FROM runs) AS last_run_us FROM runs WHERE status = 'COMPLETED'")
+def dashboard_kpis(spark, d):
+    runs = table(spark, d, "runs")
+    both = F.col("auto_links") + F.col("review_items")
+    seconds = F.nullif(F.unix_micros("ended_at") / 1e6 - F.unix_micros("started_at") / 1e6, F.lit(0.0))
+    done = runs.where("status = 'COMPLETED'").agg(F.sum("records_in").alias("total_records"), F.sum(both).alias("duplicates"), F.sum("auto_links").alias("a"), F.round(F.avg(seconds), 3).alias("avg_seconds"))
+    last = runs.agg(F.unix_micros(F.max("started_at")).alias("last_run_us"))
+    return done.crossJoin(last).select("total_records", "duplicates", r6(F.try_divide(100.0 * F.col("duplicates"), "total_records")).alias("duplicate_pct"), r6(F.try_divide(100.0 * F.col("a"), "duplicates")).alias("auto_link_pct"), "avg_seconds", "last_run_us")
+
+
+# ---- memberships
+
+
+@query("SELECT DISTINCT cluster_id, customer_key FROM clusters WHERE valid_to IS NULL")
+def current_members(spark, d):
+    return table(spark, d, "clusters").where("valid_to is null").select("cluster_id", "customer_key").distinct()
+
+
+@query("SELECT cluster_id, count(DISTINCT customer_key) AS size FROM clusters WHERE valid_to IS NULL GROUP BY cluster_id HAVING count(DISTINCT customer_key) >= 2")
+def clusters_min_size(spark, d):
+    return current_members(spark, d).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).where("size >= 2")
+
+
+@query("SELECT customer_key, customer_key AS cluster_id FROM customers_norm WHERE customer_key NOT IN (SELECT customer_key FROM clusters WHERE valid_to IS NULL)")
+def singleton_synthesis(spark, d):
+    """Records in no current cluster, each a cluster of its own."""
+    return table(spark, d, "customers_norm").join(current_members(spark, d), "customer_key", "left_anti").select("customer_key", F.col("customer_key").alias("cluster_id"))
+
+
+_GOLD = "g AS (SELECT cluster_id, c.run_id, max(name_norm) AS name, count(*) AS members, min(r.started_at) AS \"at\" FROM (SELECT DISTINCT cluster_id, customer_key FROM clusters WHERE valid_to IS NULL) k JOIN customers_norm c USING (customer_key) JOIN runs r ON r.run_id = c.run_id GROUP BY 1, 2)"
+
+
+def _golden_history(spark: SparkSession, d: str) -> DataFrame:
+    """One golden state per cluster and run that delivered a member."""
+    runs = table(spark, d, "runs").select("run_id", "started_at")
+    both = current_members(spark, d).join(table(spark, d, "customers_norm").select("customer_key", "run_id", "name_norm"), "customer_key").join(runs, "run_id")
+    return both.groupBy("cluster_id", "run_id").agg(F.max("name_norm").alias("name"), F.count(F.lit(1)).alias("members"), F.min("started_at").alias("at"))
+
+
+@query(f"WITH {_GOLD} SELECT cluster_id, run_id, name, members, row_number() OVER (PARTITION BY cluster_id ORDER BY \"at\", run_id) AS version FROM g")
+def golden_versions(spark, d):
+    version = F.row_number().over(W.partitionBy("cluster_id").orderBy("at", "run_id"))
+    return _golden_history(spark, d).withColumn("version", version).drop("at")
+
+
+@query(f"WITH {_GOLD} SELECT cluster_id, run_id, name, members FROM g QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY \"at\" DESC, run_id DESC) = 1")
+def golden_latest(spark, d):
+    return review.latest(_golden_history(spark, d), "cluster_id", ["at", "run_id"]).select("cluster_id", "run_id", "name", "members")
+
+
+@query("SELECT ingest_seq, CASE WHEN contains(upper(STATUS), 'SUSP') THEN 'High' WHEN contains(upper(STATUS), 'INACT') OR contains(upper(STATUS), 'DORMANT') THEN 'Medium' ELSE 'Low' END AS risk FROM challenging_er_200")
+def risk_level(spark, d):
+    s = F.upper("STATUS")
+    return table(spark, d, "challenging_er_200").select("ingest_seq", F.when(s.contains("SUSP"), "High").when(s.contains("INACT") | s.contains("DORMANT"), "Medium").otherwise("Low").alias("risk"))
+
+
+# ---- audit
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """The event stream as one audit log per user."""
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return table(spark, d, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("seq"), "event_type", F.coalesce("props", F.lit("{}")).alias("payload"), at.alias("at"))
+
+
+_EV = "e AS (SELECT user_id AS log, event_id AS seq, event_type, coalesce(props, '{}') AS payload, strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"at\", row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)"
+
+
+@query(f"WITH RECURSIVE {_EV}, c AS (SELECT log, seq, k, repeat('0', 64) AS prev_hash, sha256(concat_ws('|', repeat('0', 64), event_type, payload, \"at\")) AS this_hash FROM e WHERE k = 1 UNION ALL SELECT e.log, e.seq, e.k, c.this_hash, sha256(concat_ws('|', c.this_hash, e.event_type, e.payload, e.\"at\")) FROM c JOIN e ON e.log = c.log AND e.k = c.k + 1) SELECT log, seq, prev_hash, this_hash FROM c")
+def audit_chain(spark, d):
+    return audit.chain(_events(spark, d)).select("log", "seq", "prev_hash", "this_hash")
+
+
+@query(f"WITH {_EV} SELECT log, count(*) AS events, log % 7 <> 0 OR count(*) < 2 AS valid, CASE WHEN log % 7 = 0 AND count(*) >= 2 THEN 1 END AS first_bad FROM e GROUP BY log")
+def audit_verify(spark, d):
+    """Chains of which every seventh has its second payload altered."""
+    c = audit.chain(_events(spark, d))
+    k = F.row_number().over(W.partitionBy("log").orderBy("seq"))
+    forged = c.withColumn("payload", F.when((F.col("log") % 7 == 0) & (k == 2), F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return audit.verify(forged)
+
+
+@query(f"WITH {_EV} SELECT event_type, count(*) AS events, min(\"at\") AS first_at, max(\"at\") AS last_at FROM e GROUP BY event_type")
+def audit_event_counts(spark, d):
+    return _events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
+@query(f"WITH {_EV} SELECT seq, event_type, left(sha256(payload), 16) || '...' AS payload_hash FROM e WHERE event_type = (SELECT min(event_type) FROM e) ORDER BY seq LIMIT 100")
+def audit_list(spark, d):
+    e = _events(spark, d)
+    first = e.agg(F.min("event_type").alias("event_type"))
+    return e.join(F.broadcast(first), "event_type").orderBy("seq").limit(100).select("seq", "event_type", F.concat(F.left(F.sha2("payload", 256), F.lit(16)), F.lit("...")).alias("payload_hash"))
+
+
+@query("SELECT doc_id, json_extract_string(text, '$.event') AS event, json_extract_string(text, '$.actor') AS actor FROM documents WHERE source = 'audit_log' AND json_valid(text) AND json_extract_string(text, '$.actor') = 'system'")
+def audit_pair_trail(spark, d):
+    """Events whose payload names one actor; texts that are no JSON have none."""
+    docs = table(spark, d, "documents").where("source = 'audit_log' and try_parse_json(text) is not null")
+    return docs.select("doc_id", F.get_json_object("text", "$.event").alias("event"), F.get_json_object("text", "$.actor").alias("actor")).where("actor = 'system'")
+
+
+@query(f"WITH {_EV} SELECT seq, event_type, \"at\" FROM e ORDER BY seq LIMIT 10000")
+def audit_export(spark, d):
+    return _events(spark, d).orderBy("seq").limit(10000).select("seq", "event_type", "at")
+
+
+_ = components

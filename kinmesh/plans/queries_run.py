@@ -332,7 +332,7 @@ def golden_records(spark, d):
     return customer_run(spark, d).golden
 
 
-@query(sql.chain("clusters", "linked AS (SELECT a_key AS k FROM decided WHERE decision <> 'REJECT' UNION SELECT b_key FROM decided WHERE decision <> 'REJECT') SELECT customer_key, name_norm FROM norm WHERE customer_key NOT IN (SELECT k FROM linked)").replace(")\nlinked AS", "),\nlinked AS"))
+@query(sql.chain("clusters", "tied AS (SELECT a_key AS k FROM decided WHERE decision <> 'REJECT' UNION SELECT b_key FROM decided WHERE decision <> 'REJECT') SELECT customer_key, name_norm FROM norm WHERE customer_key NOT IN (SELECT k FROM tied)").replace(")\ntied AS", "),\ntied AS"))
 def uniques(spark, d):
     run = customer_run(spark, d)
     linked = run.decided.where("decision != 'REJECT'").select(F.explode(F.array("a_key", "b_key")).alias("customer_key"))
@@ -454,7 +454,7 @@ def record_profile(spark, d):
     return both.select("customer_key", *[c.alias(n) for n, c in cols.items()], F.when(status == "ACT", "VERIFIED").otherwise("PENDING").alias("kyc_status"))
 
 
-@query(sql.chain("clusters", "linked AS (SELECT a_key AS k FROM decided WHERE decision <> 'REJECT' UNION SELECT b_key FROM decided WHERE decision <> 'REJECT'), many AS (SELECT count(*) AS c, coalesce(sum(size), 0) AS m FROM sizes WHERE size > 1), u AS (SELECT count(*) AS u FROM norm WHERE customer_key NOT IN (SELECT k FROM linked)), p AS (SELECT count(*) FILTER (WHERE round(score, 9) >= 0.85) AS auto_links, count(*) FILTER (WHERE round(score, 9) >= 0.6 AND round(score, 9) < 0.85) AS review_items, count(*) FILTER (WHERE round(score, 9) < 0.6) AS reject_items, count(*) AS total_pairs FROM decided) SELECT CAST(m + u AS BIGINT) AS total_records, u AS total_uniques, round(100.0 * (m - c) / (m + u), 1) AS dedup_rate, auto_links, review_items, reject_items, total_pairs FROM many, u, p").replace(")\nlinked AS", "),\nlinked AS"))
+@query(sql.chain("clusters", "tied AS (SELECT a_key AS k FROM decided WHERE decision <> 'REJECT' UNION SELECT b_key FROM decided WHERE decision <> 'REJECT'), many AS (SELECT count(*) AS c, coalesce(sum(size), 0) AS m FROM sizes WHERE size > 1), u AS (SELECT count(*) AS u FROM norm WHERE customer_key NOT IN (SELECT k FROM tied)), p AS (SELECT count(*) FILTER (WHERE round(score, 9) >= 0.85) AS auto_links, count(*) FILTER (WHERE round(score, 9) >= 0.6 AND round(score, 9) < 0.85) AS review_items, count(*) FILTER (WHERE round(score, 9) < 0.6) AS reject_items, count(*) AS total_pairs FROM decided) SELECT CAST(m + u AS BIGINT) AS total_records, u AS total_uniques, round(100.0 * (m - c) / (m + u), 1) AS dedup_rate, auto_links, review_items, reject_items, total_pairs FROM many, u, p").replace(")\ntied AS", "),\ntied AS"))
 def exec_report(spark, d):
     run = customer_run(spark, d)
     s = F.round("score", 9)
