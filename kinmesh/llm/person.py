@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from kinmesh.llm.common import NOISE, label, words
 from kinmesh.llm.survivor import usable_phone
+from kinmesh.storage import Scratch
 
-#: A phone or mail address held by more than this many different names identifies nobody.
+#: A phone, mail address or identifier held by more than this many different names identifies nobody.
 HOLDERS = 20
 
 
@@ -42,9 +43,18 @@ def shared(profiles: DataFrame, field: str) -> DataFrame:
     return profiles.where(F.col(field).isNotNull()).groupBy(field).agg(F.approx_count_distinct("name", 0.05).alias("names")).where(F.col("names") > HOLDERS).select(field)
 
 
+def prepared(customers: DataFrame) -> DataFrame:
+    """Profiles of customer records without shared values, written once, as every use reads them several times."""
+    scratch = Scratch(customers.sparkSession, "profiles")
+    first = scratch.put(profile(customers))
+    out = scratch.put(without_shared(first))
+    scratch.drop(first)
+    return out
+
+
 def without_shared(profiles: DataFrame) -> DataFrame:
-    """Profiles with shared phones and mail addresses set to null; no row is lost."""
-    for field in ("phone", "mail"):
+    """Profiles with phones, mail addresses and identifiers that many share set to null; no row is lost."""
+    for field in ("phone", "mail", "nid"):
         bad = shared(profiles, field).withColumn("__shared", F.lit(True))
         profiles = profiles.join(bad, field, "left").withColumn(field, F.when(F.col("__shared").isNull(), F.col(field))).drop("__shared")
     return profiles

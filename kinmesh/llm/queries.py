@@ -122,7 +122,7 @@ def p8_text(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Records of DELTA runs that an earlier run has delivered for the same person and source."""
     runs = table(spark, d, "runs").groupBy("run_id").agg(F.max("started_at").alias("at"), F.max(F.when(label(F.col("mode")) == "DELTA", 1).otherwise(0)).alias("delta"))
-    people = person.without_shared(person.profile(table(spark, d, "customers_norm"))).join(runs, "run_id")
+    people = person.prepared(table(spark, d, "customers_norm")).join(runs, "run_id")
     people = people.withColumns({"id": F.xxhash64("customer_key"), "scope": F.coalesce("src", F.lit(""))})
     repeats = increments.probe_all(people.select("id", "scope", "at", *increments.FIELDS))
     return people.where("delta = 1").join(repeats.select("id"), "id", "left_semi").select("customer_key")
@@ -146,10 +146,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(a_key, b_key, confidence) of records of one person in different sources."""
-    people = person.without_shared(person.profile(table(spark, d, "customers_norm"))).withColumn("id", F.xxhash64("customer_key"))
-    from kinmesh.storage import Scratch
-
-    people = Scratch(spark, "people").put(people)
+    people = person.prepared(table(spark, d, "customers_norm")).withColumn("id", F.xxhash64("customer_key"))
     found = matching.matches(people)
     name = lambda p: people.select(F.col("id").alias(p), F.col("customer_key").alias(f"{p}_key"))
     named = found.join(name("a"), "a").join(name("b"), "b")
