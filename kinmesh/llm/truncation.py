@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from kinmesh.storage import Scratch
 
-ORDERS = (2, 3, 4, 6, 8, 11, 15, 20)
+ORDERS = (2, 3, 4, 6, 8, 12, 17)
+CHUNK = 1_000_000
 SMOOTH = 2.0
 FIRST_RATE, LEAST_RATE, MOST_RATE = 0.03, 0.005, 0.2
 #: A length is a limit if at least LIMIT_ROWS texts have it and more than LIMIT_RATIO times the mean of its neighbours.
@@ -62,25 +63,39 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
 
 
+def _chunks(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in lists of about CHUNK characters, none of them cut, so that a task's arrays stay small."""
+    out, size = [], 0
+    for t in texts:
+        out.append(t)
+        size += len(t)
+        if size >= CHUNK:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, h, n, b): contexts of a batch with how often they occur and how often a stop follows."""
+    """(k, h, n, b): contexts of a chunk with how often they occur and how often a stop follows."""
     with np.errstate(over="ignore"):
         for batch in batches:
-            texts = [_plain(t) for t in batch.column(0).to_pylist() if t]
-            if not texts:
-                continue
-            lengths = np.array([len(t) for t in texts])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            inside = np.arange(lengths.sum()) - np.repeat(starts, lengths)
-            stop = np.zeros(lengths.sum(), bool)
-            for at, t in zip(starts, texts):
-                stop[[at + m.start() - 1 for m in _STOP.finditer(t) if m.start()]] = True
-            for k, h in _hashes(_codes("".join(texts))):
-                ok = inside >= k - 1
-                keys, back = np.unique(h[ok], return_inverse=True)
-                n = np.bincount(back, minlength=len(keys))
-                b = np.bincount(back, weights=stop[ok], minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys), pa.array(n.astype(np.int64)), pa.array(b)], names=["k", "h", "n", "b"])
+            for texts in _chunks([_plain(t) for t in batch.column(0).to_pylist() if t]):
+                lengths = np.array([len(t) for t in texts])
+                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                inside = (np.arange(lengths.sum()) - np.repeat(starts, lengths)).astype(np.int32)
+                stop = np.zeros(lengths.sum(), bool)
+                for at, t in zip(starts, texts):
+                    stop[[at + m.start() - 1 for m in _STOP.finditer(t) if m.start()]] = True
+                for k, h in _hashes(_codes("".join(texts))):
+                    ok = inside >= k - 1
+                    h, s = h[ok], stop[ok]
+                    order = np.argsort(h, kind="stable")
+                    h, s = h[order], s[order]
+                    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+                    n = np.diff(np.append(first, len(h)))
+                    b = np.add.reduceat(s.astype(np.int64), first) if len(h) else n
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), pa.array(h[first]), pa.array(n.astype(np.int64)), pa.array(b.astype(np.int64))], names=["k", "h", "n", "b"])
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
