@@ -4,7 +4,7 @@ A backward character n-gram model: for each position of every text the last k ch
 whether a text or sentence may stop there. The final context of a text, looked up from short to long, gives the chance p
 that a text stops after it; log(rate / p) weighs "cut at any position" against "ended here". To it come the log-odds of a
 cut before the end is read, per source and language: at lengths that are far more frequent than their neighbours (field
-limits, in characters or bytes) the surplus; elsewhere a rate that a first pass over all texts estimates. A text counts as
+limits, in characters or bytes) the surplus to begin with, elsewhere a small rate; both are then estimated over all texts. A text counts as
 cut where the sum is positive. JSON texts are decided by their syntax.
 
 Scale: counting is one Arrow pass with vectorised hashes, combined per batch before the shuffle; contexts travel as 64-bit
@@ -29,7 +29,7 @@ from kinmesh.storage import Scratch
 ORDERS = (2, 3, 4, 6, 8, 12, 17)
 CHUNK = 1_000_000
 SMOOTH = 2.0
-FIRST_RATE, LEAST_RATE, MOST_RATE = 0.03, 0.005, 0.2
+FIRST_RATE, LEAST_RATE, MOST_RATE, ROUNDS = 0.03, 0.005, 0.2, 3
 #: A length is a limit if at least LIMIT_ROWS texts have it and more than LIMIT_RATIO times the mean of its neighbours.
 LIMIT_ROWS, LIMIT_RATIO, NEIGHBOURS = 6, 3.0, 15
 
@@ -77,7 +77,7 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, h, n, b): contexts of a chunk with how often they occur and how often a stop follows."""
+    """(k, h, n, b): contexts of a chunk with how often they occur and how often a stop follows; k = 0 has all positions."""
     with np.errstate(over="ignore"):
         for batch in batches:
             for texts in _chunks([_plain(t) for t in batch.column(0).to_pylist() if t]):
@@ -87,6 +87,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stop = np.zeros(lengths.sum(), bool)
                 for at, t in zip(starts, texts):
                     stop[[at + m.start() - 1 for m in _STOP.finditer(t) if m.start()]] = True
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([len(stop)], pa.int64()), pa.array([int(stop.sum())], pa.int64())], names=["k", "h", "n", "b"])
                 for k, h in _hashes(_codes("".join(texts))):
                     ok = inside >= k - 1
                     h, s = h[ok], stop[ok]
@@ -136,9 +137,10 @@ def evidence(documents: DataFrame) -> DataFrame:
     counted = docs.select("text").mapInArrow(_count, "k int, h bigint, n bigint, b bigint").groupBy("k", "h").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     ends = docs.select("key", "text").mapInArrow(_ends, "key bigint, k int, h bigint")
     wanted = scratch.put(ends)
-    found = counted.join(wanted.select("k", "h").distinct(), ["k", "h"])
+    every = documents.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("h"))
+    found = counted.join(wanted.select("k", "h").distinct().unionByName(every), ["k", "h"])
     table = scratch.put(found)
-    total = table.where(F.col("k") == min(ORDERS)).agg((F.sum("b") / F.sum("n")).alias("rate"))
+    total = table.where("k = 0").agg((F.sum("b") / F.sum("n")).alias("rate"))
     # own end left out; from the shortest context to the longest
     steps = wanted.join(table, ["k", "h"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("n") - 1).alias("n"), (F.col("b") - 1).alias("b")))).alias("steps"))
     steps = steps.crossJoin(F.broadcast(total))
@@ -151,13 +153,23 @@ def evidence(documents: DataFrame) -> DataFrame:
 
 
 def cut(documents: DataFrame) -> DataFrame:
-    """(key, source, lang, log_odds, cut) of each text that isn't blank."""
-    e = Scratch(documents.sparkSession, "evidence").put(evidence(documents))
+    """(key, source, lang, log_odds, cut) of each text that isn't blank.
+
+    The share of cut texts is estimated per limit and per source and language by ROUNDS steps of expectation maximisation,
+    from the surplus of a limit or FIRST_RATE; a frequent length whose texts end well so loses its suspicion.
+    """
+    scratch = Scratch(documents.sparkSession, "evidence")
+    e = scratch.put(evidence(documents))
     weight = F.log(F.coalesce(F.col("rate") / F.greatest("p", F.lit(1e-9)), F.lit(1.0)))
-    first = e.withColumn("weight", weight)
-    chance = F.lit(1) / (1 + F.exp(-(F.col("weight") + _logit(F.lit(FIRST_RATE)))))
-    rates = first.where("surplus is null and syntax is null").groupBy("source", "lang").agg(F.avg(chance).alias("share"))
-    rates = rates.select(F.col("source").alias("s"), F.col("lang").alias("l"), F.least(F.greatest("share", F.lit(LEAST_RATE)), F.lit(MOST_RATE)).alias("share"))
-    both = first.join(rates, F.col("source").eqNullSafe(F.col("s")) & F.col("lang").eqNullSafe(F.col("l")), "left")
-    odds = F.when(F.col("syntax"), 99.0).when(~F.col("syntax"), -99.0).otherwise(F.col("weight") + _logit(F.coalesce("surplus", "share", F.lit(FIRST_RATE))))
-    return both.select("key", "source", "lang", odds.alias("log_odds"), (odds > 0).alias("cut"))
+    limit = F.when(F.coalesce(F.col("by_chars") >= F.col("by_bytes"), F.col("by_chars").isNotNull()), F.concat_ws(":", F.lit("c"), "chars", "source")).otherwise(F.concat_ws(":", F.lit("b"), "bytes", "source"))
+    group = F.when(F.col("surplus").isNull(), F.concat_ws(":", F.lit("l"), F.coalesce("lang", F.lit("")), "source")).otherwise(limit)
+    rows = e.select("key", "source", "lang", "syntax", F.col("surplus").isNotNull().alias("limited"), weight.alias("weight"), group.alias("group"))
+    first = F.coalesce(F.max("surplus"), F.lit(FIRST_RATE))
+    share = e.select(group.alias("group"), "surplus").groupBy("group").agg(first.alias("share"))
+    for _ in range(ROUNDS):
+        chance = F.lit(1) / (1 + F.exp(-(F.col("weight") + _logit(F.col("share")))))
+        share = rows.where("syntax is null").join(share, "group").groupBy("group").agg(F.avg(chance).alias("m"), F.max("limited").alias("limited"))
+        share = share.select("group", F.when(F.col("limited"), F.col("m")).otherwise(F.least(F.greatest("m", F.lit(LEAST_RATE)), F.lit(MOST_RATE))).alias("share"))
+        share = scratch.put(share)
+    odds = F.when(F.col("syntax"), 99.0).when(~F.col("syntax"), -99.0).otherwise(F.col("weight") + _logit(F.coalesce("share", F.lit(FIRST_RATE))))
+    return rows.join(share, "group", "left").select("key", "source", "lang", odds.alias("log_odds"), (odds > 0).alias("cut"))
