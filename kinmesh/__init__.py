@@ -1,3 +1,10 @@
 """Identity resolution and record-quality operators for Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions travel to the workers with their code, so that executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

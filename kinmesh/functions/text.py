@@ -27,25 +27,33 @@ def _accent_table() -> tuple[str, str]:
 _ACCENTED, _BASE = _accent_table()
 
 
+#: White space of all kinds; plain \\s knows the ASCII ones only.
+SPACE = r"[\s\p{Z}]"
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, _ACCENTED, _BASE), r"\p{Mn}", "")
 
 
 def is_empty(c: Column) -> Column:
-    return F.coalesce(F.upper(F.trim(c)).isin(*EMPTY_WORDS), F.lit(True))
+    return F.coalesce(F.upper(strip(c)).isin(*EMPTY_WORDS), F.lit(True))
 
 
 def some(c: Column) -> Column:
     """The trimmed text, null where it holds nothing."""
-    return F.when(~is_empty(c), F.trim(c))
+    return F.when(~is_empty(c), strip(c))
 
 
 def _squeeze(c: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(c, f"{SPACE}+", " ")), F.lit(""))
 
 
 def normalize_name(c: Column) -> Column:
-    bare = F.regexp_replace(strip_accents(F.upper(F.trim(c))), r"[^\p{L}\p{N}_\s-]", "")
+    bare = F.regexp_replace(strip_accents(F.upper(strip(c))), r"[^\p{L}\p{N}_\s\p{Z}-]", "")
     return _squeeze(F.translate(bare, "-", " "))
 
 
@@ -55,7 +63,7 @@ def normalize_phone(c: Column) -> Column:
 
 
 def normalize_email(c: Column) -> Column:
-    mail = F.lower(F.trim(c))
+    mail = F.lower(strip(c))
     return F.when(F.contains(mail, F.lit("@")) & F.contains(F.substring_index(mail, "@", -1), F.lit(".")), mail)
 
 
@@ -65,16 +73,16 @@ def email_domain(c: Column) -> Column:
 
 
 def normalize_dob(c: Column) -> Column:
-    text = F.trim(F.regexp_replace(c, r"\s+", " "))
+    text = F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
     tries = [F.try_to_date(text, p) for p in DATE_PATTERNS]
     return F.date_format(F.coalesce(*[F.when(F.year(t).between(*YEARS), t) for t in tries]), "yyyy-MM-dd")
 
 
 def normalize_address(c: Column) -> Column:
-    text = strip_accents(F.upper(F.trim(c)))
+    text = strip_accents(F.upper(strip(c)))
     for word, short in ADDRESS_WORDS:
         text = F.regexp_replace(text, rf"\b{word}\b", short)
-    return _squeeze(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " "))
+    return _squeeze(F.regexp_replace(text, r"[^\p{L}\p{N}_\s\p{Z}]", " "))
 
 
 def normalize_natid(c: Column) -> Column:

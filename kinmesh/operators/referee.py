@@ -18,7 +18,7 @@ def judgement(score: Column, conflicts: Column, cfg: ScoringConfig) -> Column:
 
 
 def explanation(score: Column, conflicts: Column, cfg: ScoringConfig) -> Column:
-    two = F.format_string("%.2f", score)
+    two = F.format_string("%.2f", F.round(score, 2))
     return (
         F.when(F.size(conflicts) > 0, F.concat(F.lit("Automated Rejection: Critical conflicts detected ("), F.array_join(conflicts, ", "), F.lit(").")))
         .when(score > cfg.gray[1], F.concat(F.lit("Automated Confirmation: Match score ("), two, F.lit(") is very high and exceeds the verification threshold.")))

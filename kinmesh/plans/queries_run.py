@@ -106,7 +106,7 @@ def record_hash(spark, d):
     return customer_run(spark, d).norm.groupBy("record_hash").agg(F.count(F.lit(1)).alias("records"))
 
 
-@query("SELECT ingest_seq, coalesce(upper(trim(MAILID)) IN ('', 'N/A', 'NA', 'NULL', 'NONE', '-', '—'), true) AS mail_empty, coalesce(upper(trim(ADDRS2)) IN ('', 'N/A', 'NA', 'NULL', 'NONE', '-', '—'), true) AS addr_empty FROM challenging_er_200")
+@query("SELECT ingest_seq, " + sql.some("MAILID") + " IS NULL AS mail_empty, " + sql.some("ADDRS2") + " IS NULL AS addr_empty FROM challenging_er_200")
 def empty_predicate(spark, d):
     return table(spark, d, "challenging_er_200").select("ingest_seq", t.is_empty(F.col("MAILID")).alias("mail_empty"), t.is_empty(F.col("ADDRS2")).alias("addr_empty"))
 
@@ -287,7 +287,7 @@ def referee_gate(spark, d):
     return customer_run(spark, d).decided.where(referee.in_gray_zone(F.round("score", 9), F.col("hard_conflicts"), CFG)).select("pair_id")
 
 
-@query(sql.chain("decided", "SELECT pair_id, CASE WHEN conflicts <> '' THEN 'NO_MATCH' WHEN round(score, 9) > 0.85 THEN 'MATCH' ELSE 'NO_MATCH' END AS judgement, CASE WHEN conflicts <> '' THEN 'Automated Rejection: Critical conflicts detected (' || replace(conflicts, ',', ', ') || ').' WHEN round(score, 9) > 0.85 THEN 'Automated Confirmation: Match score (' || printf('%.2f', round(score, 9)) || ') is very high and exceeds the verification threshold.' ELSE 'Automated Rejection: Match score (' || printf('%.2f', round(score, 9)) || ') is too low to be considered a potential match.' END AS explanation FROM decided WHERE conflicts <> '' OR round(score, 9) > 0.85 OR round(score, 9) < 0.45"))
+@query(sql.chain("decided", "SELECT pair_id, CASE WHEN conflicts <> '' THEN 'NO_MATCH' WHEN round(score, 9) > 0.85 THEN 'MATCH' ELSE 'NO_MATCH' END AS judgement, CASE WHEN conflicts <> '' THEN 'Automated Rejection: Critical conflicts detected (' || replace(conflicts, ',', ', ') || ').' WHEN round(score, 9) > 0.85 THEN 'Automated Confirmation: Match score (' || printf('%.2f', round(round(score, 9), 2)) || ') is very high and exceeds the verification threshold.' ELSE 'Automated Rejection: Match score (' || printf('%.2f', round(round(score, 9), 2)) || ') is too low to be considered a potential match.' END AS explanation FROM decided WHERE conflicts <> '' OR round(score, 9) > 0.85 OR round(score, 9) < 0.45"))
 def referee_auto(spark, d):
     s, c = F.round("score", 9), F.col("hard_conflicts")
     return customer_run(spark, d).decided.select("pair_id", referee.judgement(s, c, CFG).alias("judgement"), referee.explanation(s, c, CFG).alias("explanation")).where("judgement is not null")

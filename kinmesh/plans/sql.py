@@ -34,16 +34,20 @@ _WORDS = [("STREET", "ST"), ("ROAD", "RD"), ("AVENUE", "AVE"), ("BOULEVARD", "BL
 _DATES = ["%Y-%m-%d", "%d-%m-%Y", "%m-%d-%Y", "%Y/%m/%d", "%d/%m/%Y", "%m/%d/%Y", "%d.%m.%Y", "%Y%m%d", "%d %b %Y", "%d %B %Y"]
 
 
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
+
 def some(x: str) -> str:
-    return f"CASE WHEN upper(trim({x})) NOT IN ('', 'N/A', 'NA', 'NULL', 'NONE', '-', '—') THEN trim({x}) END"
+    return f"CASE WHEN upper({strip(x)}) NOT IN ('', 'N/A', 'NA', 'NULL', 'NONE', '-', '—') THEN {strip(x)} END"
 
 
 def squeeze(x: str) -> str:
-    return f"nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
+    return f"nullif(trim(regexp_replace({x}, '[\\s\\p{{Z}}]+', ' ', 'g')), '')"
 
 
 def name(x: str) -> str:
-    bare = f"regexp_replace(strip_accents(upper(trim({x}))), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g')"
+    bare = f"regexp_replace(strip_accents(upper({strip(x)})), '[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}-]', '', 'g')"
     return squeeze(f"replace({bare}, '-', ' ')")
 
 
@@ -53,7 +57,7 @@ def phone(x: str) -> str:
 
 
 def email(x: str) -> str:
-    e = f"lower(trim({x}))"
+    e = f"lower({strip(x)})"
     return f"CASE WHEN contains({e}, '@') AND contains(split_part({e}, '@', -1), '.') THEN {e} END"
 
 
@@ -63,10 +67,10 @@ def dob(x: str) -> str:
 
 
 def address(x: str) -> str:
-    t = f"strip_accents(upper(trim({x})))"
+    t = f"strip_accents(upper({strip(x)}))"
     for w, s in _WORDS:
         t = f"regexp_replace({t}, '\\b{w}\\b', '{s}', 'g')"
-    return squeeze(f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g')")
+    return squeeze(f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}_\\s\\p{{Z}}]', ' ', 'g')")
 
 
 def natid(x: str) -> str:
