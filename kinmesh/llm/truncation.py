@@ -11,7 +11,7 @@ Scale: counting is one Arrow pass with vectorised hashes, combined per batch bef
 hashes. Nothing is sampled; statistics of lengths are one row per source and length.
 
 Defined edge cases: null, empty and blank texts are no cases; texts of any length count whole; a context never seen falls
-back to shorter ones; a text never supports itself (its own end is left out of the counts).
+back to shorter ones; a text never supports itself (its own end is left out of the counts), nor do the ends of texts at a limit.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ CHUNK = 1_000_000
 SMOOTH = 2.0
 FIRST_RATE, LEAST_RATE, MOST_RATE, ROUNDS = 0.03, 0.005, 0.2, 3
 #: A length is a limit if at least LIMIT_ROWS texts have it and more than LIMIT_RATIO times the mean of its neighbours.
-LIMIT_ROWS, LIMIT_RATIO, NEIGHBOURS = 6, 3.0, 15
+LIMIT_ROWS, LIMIT_RATIO, LIMIT_SHARE, NEIGHBOURS = 6, 3.0, 0.001, 15
 
 _CLOSE = "\"'»”’)\\]}“"
 _STOP = re.compile(rf"[{_CLOSE}.!?…;。]*(?=\n|$)|[{_CLOSE}]*[.!?…;。][{_CLOSE}.!?…;。]*(?=\s)")
@@ -63,12 +63,12 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
+def _chunks(texts: list[tuple[str, bool]]) -> Iterator[list[tuple[str, bool]]]:
     """Texts in lists of about CHUNK characters, none of them cut, so that a task's arrays stay small."""
     out, size = [], 0
     for t in texts:
         out.append(t)
-        size += len(t)
+        size += len(t[0])
         if size >= CHUNK:
             yield out
             out, size = [], 0
@@ -80,13 +80,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(k, h, n, b): contexts of a chunk with how often they occur and how often a stop follows; k = 0 has all positions."""
     with np.errstate(over="ignore"):
         for batch in batches:
-            for texts in _chunks([_plain(t) for t in batch.column(0).to_pylist() if t]):
+            for pairs in _chunks([(_plain(t), limited) for t, limited in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]):
+                texts = [t for t, _ in pairs]
                 lengths = np.array([len(t) for t in texts])
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 inside = (np.arange(lengths.sum()) - np.repeat(starts, lengths)).astype(np.int32)
                 stop = np.zeros(lengths.sum(), bool)
-                for at, t in zip(starts, texts):
-                    stop[[at + m.start() - 1 for m in _STOP.finditer(t) if m.start()]] = True
+                for at, (t, limited) in zip(starts, pairs):
+                    stop[[at + m.start() - 1 for m in _STOP.finditer(t) if m.start() and not (limited and m.end() == len(t))]] = True
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([len(stop)], pa.int64()), pa.array([int(stop.sum())], pa.int64())], names=["k", "h", "n", "b"])
                 for k, h in _hashes(_codes("".join(texts))):
                     ok = inside >= k - 1
@@ -116,13 +117,17 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def limits(sized: DataFrame, size: str) -> DataFrame:
-    """(source, size, surplus): the share of texts of that length that the length's neighbours don't explain."""
+    """(source, size, surplus): the share of texts of that length that the length's neighbours don't explain.
+
+    A limit holds at least LIMIT_SHARE of its source's texts, so there are at most 1 / LIMIT_SHARE rows per source.
+    """
     seen = sized.groupBy("source", F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    total = seen.groupBy("source").agg(F.sum("n").alias("total"))
     shifts = F.array(*[F.lit(i) for i in range(-NEIGHBOURS, NEIGHBOURS + 1) if i])
     around = seen.select("source", F.explode(F.transform(shifts, lambda i: F.col("size") + i)).alias("size"), "n").groupBy("source", "size").agg((F.sum("n") / (2 * NEIGHBOURS)).alias("mean"))
-    both = seen.join(around, ["source", "size"], "left").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
-    both = both.where((F.col("n") >= LIMIT_ROWS) & (F.col("n") > LIMIT_RATIO * F.col("mean")))
-    return both.select("source", F.col("size").alias(size), ((F.col("n") - F.col("mean")) / F.col("n")).alias("surplus"))
+    both = seen.join(around, ["source", "size"], "left").join(total, "source").withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+    both = both.where((F.col("n") >= LIMIT_ROWS) & (F.col("n") > LIMIT_RATIO * F.col("mean")) & (F.col("n") >= LIMIT_SHARE * F.col("total")))
+    return both.select("source", F.col("size").alias(size), ((F.col("n") - F.col("mean")) / F.col("n")).alias(f"by_{size}"))
 
 
 def _logit(p: Column) -> Column:
@@ -132,24 +137,27 @@ def _logit(p: Column) -> Column:
 
 def evidence(documents: DataFrame) -> DataFrame:
     """(key, source, lang, p, rate, surplus, syntax) of each text that isn't blank, from (key, text, source, lang)."""
-    docs = documents.where("trim(text) != ''")
     scratch = Scratch(documents.sparkSession, "ends")
-    counted = docs.select("text").mapInArrow(_count, "k int, h bigint, n bigint, b bigint").groupBy("k", "h").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    ends = docs.select("key", "text").mapInArrow(_ends, "key bigint, k int, h bigint")
-    wanted = scratch.put(ends)
+    docs = documents.where("trim(text) != ''").withColumns({"chars": F.length("text"), "bytes": F.octet_length("text")})
+    lengths = scratch.put(docs.groupBy("source", "chars", "bytes").agg(F.count(F.lit(1)).alias("__n")).select("source", "chars", "bytes", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k")).drop("__k"))
+    for size in ("chars", "bytes"):
+        docs = docs.join(F.broadcast(scratch.put(limits(lengths, size))), ["source", size], "left")  # bounded, see limits()
+    docs = docs.withColumn("surplus", F.greatest("by_chars", "by_bytes"))
+    # ends at a limit are no evidence that texts stop there
+    counted = docs.select("text", F.col("surplus").isNotNull()).mapInArrow(_count, "k int, h bigint, n bigint, b bigint").groupBy("k", "h").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    wanted = scratch.put(docs.select("key", "text").mapInArrow(_ends, "key bigint, k int, h bigint"))
     every = documents.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("h"))
     found = counted.join(wanted.select("k", "h").distinct().unionByName(every), ["k", "h"])
     table = scratch.put(found)
     total = table.where("k = 0").agg((F.sum("b") / F.sum("n")).alias("rate"))
     # own end left out; from the shortest context to the longest
-    steps = wanted.join(table, ["k", "h"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("n") - 1).alias("n"), (F.col("b") - 1).alias("b")))).alias("steps"))
+    sized = docs.select("key", "source", "lang", "chars", "bytes", "by_chars", "by_bytes", "surplus", F.when(F.trim("text").rlike(r"^[{\[]\s*[\"{\[]"), F.expr("try_parse_json(text) is null")).alias("syntax"))
+    sized = scratch.put(sized)
+    voted = wanted.join(sized.select("key", F.when(F.col("surplus").isNull(), 1).otherwise(0).alias("own")), "key").join(table, ["k", "h"])
+    steps = voted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("n") - 1).alias("n"), (F.col("b") - F.col("own")).alias("b")))).alias("steps"))
     steps = steps.crossJoin(F.broadcast(total))
     p = F.aggregate("steps", F.col("rate"), lambda acc, s: (F.greatest(s["b"], F.lit(0)) + SMOOTH * acc) / (s["n"] + SMOOTH))
-    sized = docs.select("key", "source", "lang", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.when(F.trim("text").rlike(r"^[{\[]\s*[\"{\[]"), F.expr("try_parse_json(text) is null")).alias("syntax"))
-    out = sized.join(steps.select("key", p.alias("p"), "rate"), "key", "left")
-    for size in ("chars", "bytes"):
-        out = out.join(limits(sized, size).withColumnRenamed("surplus", f"by_{size}"), ["source", size], "left")
-    return out.withColumn("surplus", F.greatest("by_chars", "by_bytes"))
+    return sized.join(steps.select("key", p.alias("p"), "rate"), "key", "left")
 
 
 def cut(documents: DataFrame) -> DataFrame:

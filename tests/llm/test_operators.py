@@ -245,21 +245,23 @@ def test_packing(spark):
 
 def test_lost_ends(spark):
     rng = random.Random(6)
-    sentences = ["The score is below the limit.", "Both records agree in the name.", "The customer asked for a call!", "Nothing was found in the log.", "Please check the address again."]
+    nouns = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(60)]
+    shapes = ["The {} is below the {} of the {}.", "Both {} agree with the {} and the {}.", "A customer asked for {} about {} or {}!", "Nothing was found in {} by {} for {}.", "Please check {} against {} in {} again."]
     rows = []
-    for i in range(600):
-        t = " ".join(rng.choice(sentences) for _ in range(rng.randrange(1, 6)))
-        lost = i % 6 == 0 and len(t) > 60
+    for i in range(1500):
+        t = " ".join(rng.choice(shapes).format(*rng.sample(nouns, 3)) for _ in range(rng.randrange(1, 6)))
+        lost = i % 5 == 0 and len(t) > 100
         if lost:
-            t = t[:60]
+            t = t[:100]
         elif i % 6 == 1:
-            t = t.rstrip(".")
-        rows.append((i, t, "s", "en", lost and not t.rstrip().endswith((".", "!"))))
-    rows += [(1000, None, "s", "en", False), (1001, "", "s", "en", False), (1002, "  ", None, None, False), (1003, '{"a": "b"}', "j", "en", False), (1004, '{"a": "b', "j", "en", True)]
+            t = t.rstrip(".!")
+        rows.append((i, t, "s", "en", lost))
+    rows += [(2000, None, "s", "en", False), (2001, "", "s", "en", False), (2002, "  ", None, None, False), (2003, '{"a": "b"}', "j", "en", False), (2004, '{"a": "b', "j", "en", True)]
     df = spark.createDataFrame(rows, "key bigint, text string, source string, lang string, lost boolean")
     got = {r.key for r in truncation.cut(df.drop("lost")).where("cut").collect()}
     want = {r[0] for r in rows if r[4]}
-    ends_whole = {r[0] for r in rows if r[1] and len(r[1]) == 60}  # cut right behind a sentence: either answer will do
-    assert len(got ^ want - ends_whole) <= 0.03 * len(rows)
-    assert {1004} <= got and not got & {1000, 1001, 1002, 1003}
+    hits = len(got & want)
+    # a cut right behind a sentence can't be told from an end
+    assert (hits >= 0.85 * len(want), hits >= 0.95 * len(got)) == (True, True), (hits, len(want), len(got))
+    assert {2004} <= got and not got & {2000, 2001, 2002, 2003}
     assert truncation.cut(df.drop("lost").where("false")).count() == 0
