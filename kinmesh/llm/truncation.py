@@ -30,6 +30,7 @@ ORDERS = (2, 3, 4, 6, 8, 12, 17)
 CHUNK = 1_000_000
 SMOOTH = 2.0
 FIRST_RATE, LEAST_RATE, MOST_RATE, ROUNDS = 0.03, 0.005, 0.2, 3
+OPEN_END = 5.0
 #: A length is a limit if at least LIMIT_ROWS texts have it and more than LIMIT_RATIO times the mean of its neighbours.
 LIMIT_ROWS, LIMIT_RATIO, LIMIT_SHARE, NEIGHBOURS = 6, 3.0, 0.001, 15
 
@@ -151,12 +152,12 @@ def evidence(documents: DataFrame) -> DataFrame:
     table = scratch.put(found)
     total = table.where("k = 0").agg((F.sum("b") / F.sum("n")).alias("rate"))
     # own end left out; from the shortest context to the longest
-    sized = docs.select("key", "source", "lang", "chars", "bytes", "by_chars", "by_bytes", "surplus", F.when(F.trim("text").rlike(r"^[{\[]\s*[\"{\[]"), F.expr("try_parse_json(text) is null")).alias("syntax"))
+    sized = docs.select("key", "source", "lang", "chars", "bytes", "by_chars", "by_bytes", "surplus", (F.col("surplus").isNotNull() & F.col("text").rlike(r"[ \t]$")).alias("open"), F.when(F.trim("text").rlike(r"^[{\[]\s*[\"{\[]"), F.expr("try_parse_json(text) is null")).alias("syntax"))
     sized = scratch.put(sized)
     voted = wanted.join(sized.select("key", F.when(F.col("surplus").isNull(), 1).otherwise(0).alias("own")), "key").join(table, ["k", "h"])
     steps = voted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("n") - 1).alias("n"), (F.col("b") - F.col("own")).alias("b")))).alias("steps"))
     steps = steps.crossJoin(F.broadcast(total))
-    p = F.aggregate("steps", F.col("rate"), lambda acc, s: (F.greatest(s["b"], F.lit(0)) + SMOOTH * acc) / (s["n"] + SMOOTH))
+    p = F.aggregate("steps", F.col("rate"), lambda acc, s: (F.greatest(F.least(s["b"], s["n"]), F.lit(0)) + SMOOTH * acc) / (s["n"] + SMOOTH))
     return sized.join(steps.select("key", p.alias("p"), "rate"), "key", "left")
 
 
@@ -168,7 +169,8 @@ def cut(documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession, "evidence")
     e = scratch.put(evidence(documents))
-    weight = F.log(F.coalesce(F.col("rate") / F.greatest("p", F.lit(1e-9)), F.lit(1.0)))
+    # a text that fills its field and ends in a blank goes on
+    weight = F.log(F.coalesce(F.col("rate") / F.greatest("p", F.lit(1e-9)), F.lit(1.0))) + F.when(F.col("open"), OPEN_END).otherwise(0.0)
     limit = F.when(F.coalesce(F.col("by_chars") >= F.col("by_bytes"), F.col("by_chars").isNotNull()), F.concat_ws(":", F.lit("c"), "chars", "source")).otherwise(F.concat_ws(":", F.lit("b"), "bytes", "source"))
     group = F.when(F.col("surplus").isNull(), F.concat_ws(":", F.lit("l"), F.coalesce("lang", F.lit("")), "source")).otherwise(limit)
     rows = e.select("key", "source", "lang", "syntax", F.col("surplus").isNotNull().alias("limited"), weight.alias("weight"), group.alias("group"))

@@ -250,9 +250,9 @@ def test_lost_ends(spark):
     rows = []
     for i in range(1500):
         t = " ".join(rng.choice(shapes).format(*rng.sample(nouns, 3)) for _ in range(rng.randrange(1, 6)))
-        lost = i % 5 == 0 and len(t) > 100
+        lost = i % 5 == 0 and len(t) > 87
         if lost:
-            t = t[:100]
+            t = t[:87]
         elif i % 6 == 1:
             t = t.rstrip(".!")
         rows.append((i, t, "s", "en", lost))
