@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmesh.llm import copies, grouping, increments, matching, packing, person, places, survivor, tokens, truncation
+from kinmesh.llm import copies, grouping, increments, matching, oracles, packing, person, places, survivor, tokens, truncation
 from kinmesh.llm.common import label, words
 from kinmesh.storage import table
 
@@ -193,4 +193,4 @@ QUERIES = {
     "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_pairs": p6_pairs, "p9_packed": p9_packed, "p10_found": p10_found, "p10_share": p10_share,
     "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p8_text": p8_text,
 }
-ORACLE = {}
+ORACLE = oracles.ORACLE
