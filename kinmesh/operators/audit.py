@@ -1,13 +1,19 @@
 """Tamper-evident event log: a chain of SHA-256 hashes per log, and its verification.
 
-Building a chain is sequential by nature, so a log is the unit of parallelism: one fold per log inside the JVM. Verifying
-is parallel over all events, since every event names the hash before it.
+Building a chain is sequential by nature, so a log is the unit of parallelism: logs are sorted within partitions and read
+once as a stream of Arrow batches, so that no log is held in memory. Verifying is parallel over all events, since every
+event names the hash before it. Events without a log are left out; null parts are left out of the hashed text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 GENESIS = "0" * 64
@@ -17,13 +23,25 @@ def event_hash(prev: Column, kind: Column, payload: Column, at: Column) -> Colum
     return F.sha2(F.concat_ws("|", prev, kind, payload, at), 256)
 
 
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of events sorted by log and place; only the last hash is carried from batch to batch."""
+    log, prev = None, GENESIS
+    for b in batches:
+        prevs, hashes = [], []
+        for own, *parts in zip(*(b.column(c).to_pylist() for c in ("log", "event_type", "payload", "at"))):
+            if own != log:
+                log, prev = own, GENESIS
+            prevs.append(prev)
+            prev = sha256("|".join([prev, *[p for p in parts if p is not None]]).encode()).hexdigest()
+            hashes.append(prev)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=[*b.schema.names, "prev_hash", "this_hash"])
+
+
 def chain(events: DataFrame) -> DataFrame:
     """events (log, seq, event_type, payload, at string) with prev_hash and this_hash."""
-    listed = events.groupBy("log").agg(F.array_sort(F.collect_list(F.struct("seq", "event_type", "payload", "at"))).alias("es"))
-    grow = lambda acc, e: F.concat(acc, F.array(event_hash(F.element_at(acc, -1), e["event_type"], e["payload"], e["at"])))
-    hashes = F.aggregate("es", F.array(F.lit(GENESIS)), grow)
-    rows = listed.select("log", F.posexplode("es").alias("pos", "e"), hashes.alias("hs"))
-    return rows.select("log", "e.*", F.get("hs", F.col("pos")).alias("prev_hash"), F.get("hs", F.col("pos") + 1).alias("this_hash"))
+    rows = events.where("log is not null").select("log", "seq", "event_type", "payload", "at")
+    schema = T.StructType([*rows.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("this_hash", T.StringType())])
+    return rows.repartition("log").sortWithinPartitions("log", "seq").mapInArrow(_link, schema)
 
 
 def verify(chained: DataFrame) -> DataFrame:

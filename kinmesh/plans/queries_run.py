@@ -212,9 +212,9 @@ def evidence_fuzzy(spark, d):
     return customer_run(spark, d).decided.select("pair_id", "name_kind", r6("name_sim").alias("name_sim"), "address_kind", r6("address_sim").alias("address_sim"))
 
 
-@query(sql.chain("decided", "SELECT pair_id, round(s3, 6) AS score FROM decided"))
+@query(sql.chain("decided", "SELECT pair_id, round(s3, 8) AS score FROM decided"))
 def score_rules(spark, d):
-    return customer_run(spark, d).decided.select("pair_id", r6(scoring.rules(CFG)).alias("score"))
+    return customer_run(spark, d).decided.select("pair_id", F.round(scoring.rules(CFG), 8).alias("score"))
 
 
 @query(sql.chain("decided", "SELECT pair_id, round(score, 6) AS score FROM decided"))
