@@ -1,13 +1,15 @@
 """Problem 6: the same entities in several sources that share no key.
 
-Each attribute is encoded as a fixed 64-bit vector of its hashed q-grams. The vectors of a record form one long vector that
-multi-index hashing cuts at attribute borders into the substrings of SUBSTRINGS: every pair that agrees in all bits of at
-least one substring is found, exactly and without comparing all pairs. Found pairs get a field-weighted Dice score of the
+Each attribute is encoded as a fixed 64-bit vector of its hashed q-grams. Multi-index hashing finds, without comparing all
+pairs, every pair that agrees in all bits of one of SUBSTRINGS, and every pair that agrees in the second attribute of one
+of NEAR and differs in at most RADIUS bits of the first (a wrong letter changes four bits at most): the first is cut into
+RADIUS + 1 pieces, of which such a pair has one in common. Found pairs get a field-weighted Dice score of the
 vectors; how often a score means the same entity is read off the pairs whose identifiers decide it, made monotone, and
 combined with the identifier's own evidence into a confidence.
 
-Skew: phones and mail addresses that many people share are no evidence; every substring holds enough bits of information
-that its buckets stay small; a hot bucket is split by the skew join of adaptive execution and no pair is dropped.
+Skew: phones and mail addresses that many people share are no evidence; whole substrings hold enough bits of information
+that their buckets stay small, those of a piece and a date or a word grow with the data; a hot bucket is split by the skew
+join of adaptive execution and no pair is dropped.
 
 Defined edge cases: an attribute that is null on either side neither helps nor harms; records without any complete
 substring are in no pair; repeated rows are paired like others; empty tables give empty results.
@@ -29,6 +31,11 @@ from kinmesh.storage import Scratch
 #: Attributes, and whether a q-gram's place in the value counts.
 ENCODED = {"name": False, "word": False, "nid": True, "dob": True, "mail": False, "phone": True, "addr": False}
 SUBSTRINGS = [("nid",), ("mail",), ("name", "dob"), ("word", "dob"), ("phone", "dob"), ("phone", "name"), ("addr", "name"), ("addr", "dob"), ("addr", "phone")]
+#: Attributes that may differ in RADIUS bits while the second is equal; `word` stands for the name where it has no long word.
+NEAR = [("name", "dob"), ("nid", "dob"), ("mail", "dob"), ("addr", "dob"), ("nid", "word"), ("mail", "word"), ("addr", "name")]
+RADIUS = 4
+#: Buckets by whole attributes; the phone alone and the pieces of NEAR imply the other SUBSTRINGS.
+WHOLE = [("nid",), ("mail",), ("phone",), ("word", "dob")]
 WEIGHTS = {"name": 2.0, "dob": 2.5, "mail": 2.5, "phone": 1.5, "addr": 1.5}
 BINS, SHRINK = 50, 1.0
 #: Points of person.same_person() that a found pair needs.
@@ -74,13 +81,32 @@ def vectors(profiles: DataFrame) -> DataFrame:
     return rows.mapInArrow(_encode, "id bigint, src string, " + ", ".join(f"{n} bigint" for n in ENCODED))
 
 
+def _pieces(c: Column) -> list[Column]:
+    """The RADIUS + 1 pieces of a 64-bit vector."""
+    cuts = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
+    return [F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def _keys() -> list[Column]:
+    """Every bucket of a record, null where an attribute is missing."""
+    word = F.when(F.col("word") != 0, F.col("word")).otherwise(F.col("name"))
+    parts = [([F.col(n) for n in s], [F.lit(0)]) for s in WHOLE]
+    parts += [([F.col(n), word if m == "word" else F.col(m)], _pieces(F.col(n))) for n, m in NEAR]
+    out = []
+    for whole, pieces in parts:
+        there = F.least(*[F.when(c != 0, 1).otherwise(0) for c in whole], F.lit(1)) == 1
+        for piece in pieces:
+            held = whole if len(pieces) == 1 else [whole[1], piece]
+            out.append(F.when(there, F.xxhash64(F.lit(len(out)), *held)))
+    return out
+
+
 def candidates(encoded: DataFrame) -> DataFrame:
-    """(a, b, plain): pairs of different sources, a < b, that agree in a substring; plain: in one without the identifier."""
-    keys = [F.when(F.least(*[F.when(F.col(n) != 0, 1).otherwise(0) for n in s], F.lit(1)) == 1, F.struct(F.xxhash64(F.lit(i), *s).alias("key"), F.lit(s != ("nid",)).alias("plain"))) for i, s in enumerate(SUBSTRINGS)]
-    long = encoded.select("id", F.xxhash64("src").alias("src"), F.inline(F.array_compact(F.array(*keys))))
-    long = Scratch(encoded.sparkSession, "substrings").put(long)
-    other = long.select("key", F.col("id").alias("b"), F.col("src").alias("other"))
-    return long.join(other, "key").where("src != other and id < b").groupBy(F.col("id").alias("a"), "b").agg(F.max("plain").alias("plain"))
+    """(a, b): pairs of different sources, a < b, that share a bucket."""
+    long = encoded.select("id", F.xxhash64("src").alias("src"), F.explode(F.array_compact(F.array(*_keys()))).alias("key"))
+    # both sides are written alike, so that one exchange serves both
+    side = lambda p: long.select(F.col("id").alias(p), F.col("src").alias(f"{p}_src"), F.col("key").alias(f"{p}_key"))
+    return side("a").join(side("b"), F.col("a_key") == F.col("b_key")).where("a_src != b_src and a < b").select("a", "b").distinct()
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -89,13 +115,16 @@ def dice(a: Column, b: Column) -> Column:
 
 
 def scored(pairs: DataFrame, encoded: DataFrame) -> DataFrame:
-    """Adds score (attributes other than the identifier) and nid (Dice of the identifiers, null if either lacks it)."""
+    """Adds score (attributes other than the identifier), nid (Dice of the identifiers, null if either lacks it) and plain
+    (the pair agrees in one of SUBSTRINGS without the identifier)."""
     side = lambda p: encoded.select(F.col("id").alias(p), *[F.col(n).alias(f"{p}_{n}") for n in ENCODED])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     d = {n: dice(F.col(f"a_{n}"), F.col(f"b_{n}")) for n in ["nid", *WEIGHTS]}
     top = sum(F.coalesce(d[n] * w, F.lit(0.0)) for n, w in WEIGHTS.items())
     bottom = sum(F.when(d[n].isNotNull(), w).otherwise(0.0) for n, w in WEIGHTS.items())
-    return both.select("a", "b", "plain", ((top + 0.5 * SHRINK) / (bottom + SHRINK)).alias("score"), d["nid"].alias("nid"))
+    equal = {n: F.when((F.col(f"a_{n}") != 0) & (F.col(f"a_{n}") == F.col(f"b_{n}")), 1).otherwise(0) for n in ENCODED}
+    plain = F.greatest(*[F.least(*[equal[n] for n in s], F.lit(1)) for s in SUBSTRINGS if s != ("nid",)]) == 1
+    return both.select("a", "b", plain.alias("plain"), ((top + 0.5 * SHRINK) / (bottom + SHRINK)).alias("score"), d["nid"].alias("nid"))
 
 
 def calibration(pairs: DataFrame) -> list[float]:

@@ -163,6 +163,29 @@ def test_vectors_and_substrings(spark):
     assert matching.matches(p.where("false")).count() == 0
 
 
+def test_small_errors_meet(spark):
+    """Pairs whose identifier, name, mail and address all differ by a letter share no equal vector but a date or a word."""
+    near = [
+        ("a", "r", "CARDS", "ANN LINDQUIST", None, None, "1980-02-03", "12 OAKHOLME ST", None, "ID1234567890"), ("b", "r", "LOANS", "ANN LINDQVIST", None, None, "1980-02-03", "12 OAKHOLMA ST", None, "ID1234567891"),
+        ("c", "r", "CARDS", "TOM MERRYWELL", None, "tom.merrywell12@x.example", None, "99 ELMGATE ROAD", None, "P0987654321"), ("d", "r", "LOANS", "TOM J MERRYWELL", None, "tom.merrywell13@x.example", None, "98 ELMGATE ROAD", None, "P0987654322"),
+    ]
+    p = person.profile(_people(spark, near)).withColumn("id", F.xxhash64("customer_key"))
+    ids = {r.id: r.customer_key for r in p.collect()}
+    v = {ids[r.id]: r for r in matching.vectors(p).collect()}
+    pairs = {frozenset((ids[r.a], ids[r.b])) for r in matching.candidates(matching.vectors(p)).collect()}
+    assert pairs == {frozenset("ab"), frozenset("cd")}
+    # every pair within the radius, by brute force over random vectors
+    rng = random.Random(5)
+    base = {n: rng.getrandbits(63) for n in matching.ENCODED}
+    rows = [(i, f"s{i % 2}", *[base[n] ^ sum(1 << b for b in rng.sample(range(64 - 1), rng.choice([0, 1, 3, 4, 9]))) for n in matching.ENCODED]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, src string, " + ", ".join(f"{n} bigint" for n in matching.ENCODED))
+    at = {n: k + 2 for k, n in enumerate(matching.ENCODED)}
+    far = lambda x, y, n: (x[at[n]] ^ y[at[n]]).bit_count()
+    want = {(x[0], y[0]) for x, y in itertools.combinations(rows, 2) if x[1] != y[1] and any(far(x, y, m) == 0 and far(x, y, n) <= matching.RADIUS for n, m in matching.NEAR)}
+    assert want and want <= {(r.a, r.b) for r in matching.candidates(df).collect()}
+    assert v["a"].name != v["b"].name and v["a"].nid != v["b"].nid and v["c"].mail != v["d"].mail
+
+
 def test_relatives_differ(spark):
     rows = [("a", "r", *ANN), ("b", "r", "CARDS", "TOM LINDQUIST", None, "tom.lindquist78@mail.example", "2005-09-12", *ANN[5:7], "ID5551114447"), ("c", "r", "CARDS", "ANN LINDQUIST", "5559998877", "ann.lindquist91@mail.example", "1950-02-03", *ANN[5:7], None)]
     p = person.profile(_people(spark, rows))
