@@ -2,9 +2,11 @@
 
 Items longer than the capacity give full containers of their own and one remainder; everything else is packed whole. Items
 are spread at random over blocks of about BLOCK items, and each block is packed by bin completion: the largest item left is
-placed, undominated fillings of the rest of its container are enumerated in order of waste, a branch is cut when the waste
-so far can no longer beat the incumbent, and best-fit-decreasing gives the first incumbent. A block's search is bounded by
-NODES; when they are used up the best packing so far stands, so the bound affects waste, never which items are packed.
+placed, all undominated fillings of the rest of its container are enumerated lazily in order of waste (the sums that the
+items left can make are known, so no step is in vain), a branch is cut when the waste so far can no longer beat the
+incumbent, and best-fit-decreasing gives the first incumbent. A block's search is bounded by NODES, or by what DESCENTS
+whole packings take if that is more; when they are used up the best packing so far stands, so the bound affects waste, never
+which items are packed. search() tells whether a block ended so.
 
 Scale: the number of blocks grows with the items, every task holds one block, and a block wastes at most about one container
 in BLOCK items. Defined edge cases: items of size null count as 0; items of size 0 take no room and join the first container
@@ -14,12 +16,13 @@ of their block; an empty table gives an empty result; repeated keys are packed o
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, BLOCK, NODES, WIDTH = 2048, 4000, 20_000, 3
+CAPACITY, BLOCK, NODES, DESCENTS = 2048, 4000, 20_000, 4
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -59,62 +62,94 @@ def _covers(big: tuple[int, ...], small: tuple[int, ...]) -> bool:
     return place(0)
 
 
-def fillings(left: Counter, order: list[int], room: int, waste: int, nodes: list[int]) -> list[tuple[int, ...]]:
-    """Up to WIDTH undominated sets of sizes for `room`, least waste first, none that wastes more than `waste`."""
-    found: dict[tuple[int, ...], int] = {}
-    budget = [200]
+def _sums(left: Counter, order: list[int], room: int) -> list[int]:
+    """For each place in order, the sums up to room that the sizes from there on can make, as bits."""
+    out = [1] * (len(order) + 1)
+    mask = (1 << (room + 1)) - 1
+    for k in range(len(order) - 1, -1, -1):
+        bits, n, step = out[k + 1], min(left[order[k]], room // order[k]), 1
+        while n > 0:
+            bits |= bits << (order[k] * min(step, n))
+            n, step = n - step, step * 2
+        out[k] = bits & mask
+    return out
 
-    def extend(k: int, room: int, chosen: tuple[int, ...]) -> bool:
-        nodes[0] -= 1
-        budget[0] -= 1
-        fits = [i for i in range(k, len(order)) if order[i] <= room and left[order[i]] > chosen.count(order[i])]
-        if not fits:
-            if room <= waste:
-                found[chosen] = room
-            return room == 0
-        for i in fits[:8]:
-            if extend(i, room - order[i], (*chosen, order[i])) or budget[0] <= 0 or nodes[0] <= 0:
-                return True
-        return False
 
-    extend(0, room, ())
-    ranked = sorted(found, key=lambda f: (found[f], len(f)))
-    kept: list[tuple[int, ...]] = []
-    for f in ranked:
-        if len(kept) < WIDTH and not any(_covers(g, f) for g in kept):
-            kept.append(f)
-    return kept
+def fillings(left: Counter, order: list[int], room: int, waste: int, nodes: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, sizes) of every undominated filling of `room`, least waste first, none that wastes more than `waste`."""
+    order = [s for s in order if s <= room]
+    can = _sums(left, order, room)
 
+    def made(k: int, target: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        nodes[0] -= 1
+        while target and nodes[0] > 0:
+            s = order[k]
+            k += 1
+            for n in range(min(left[s], target // s), 0, -1):
+                if can[k] >> (target - n * s) & 1:
+                    yield from made(k, target - n * s, (*chosen, *[s] * n))
+            if not can[k] >> target & 1:
+                return
+        if not target:
+            yield chosen
 
-def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
-    """Containers as lists of sizes; no size exceeds the capacity."""
+    kept: list[tuple[int, ...]] = []
+    for over in range(min(waste, room) + 1):
+        if nodes[0] <= 0:
+            return
+        if can[0] >> (room - over) & 1:
+            for f in made(0, room - over, ()):
+                # what still fits makes a filling of less waste
+                more = any(s <= over and left[s] > f.count(s) for s in reversed(order))
+                if not more and not any(_covers(g, f) for g in kept):
+                    kept.append(f)
+                    yield over, f
+
+
+def least_containers(sizes: list[int], capacity: int) -> int:
+    """A bound from below: by volume, by sizes of more than half, by how many of the smallest fit into one container."""
+    fit, room = 0, capacity
+    for s in sorted(sizes):
+        room -= s
+        if room < 0:
+            break
+        fit += 1
+    return max(-(-sum(sizes) // capacity), sum(s * 2 > capacity for s in sizes), -(-len(sizes) // max(fit, 1)))
+
+
+def search(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[list[int]], bool]:
+    """Containers as lists of sizes, and whether the budget ended the search; no size exceeds the capacity."""
     best = best_fit(sizes, capacity)
     total = sum(sizes)
-    bound = max(-(-total // capacity), sum(s > capacity // 2 for s in sizes))
-    left, budget = Counter(sizes), [nodes]
+    bound = least_containers(sizes, capacity)
+    left, budget = Counter(sizes), [max(nodes, DESCENTS * (len(sizes) + len(best)))]
     used: list[tuple[int, ...]] = []
-    stack: list[list[tuple[int, ...]]] = []
+    stack: list[tuple[int, Iterator[tuple[int, tuple[int, ...]]]]] = []
     waste = 0
-    # depth first without recursion: a level holds the fillings still to be tried for one container
+    # depth first without recursion: a level holds the largest size left and the fillings still to be tried with it
     down = True
     while len(best) > bound and budget[0] > 0:
         if down:
+            budget[0] -= 1
             order = sorted((s for s, n in left.items() if n), reverse=True)
-            options: list[tuple[int, ...]] = []
+            top, options = 0, iter(())
             if order:
                 top = order[0]
-                left[top] -= 1
                 allowed = (len(best) - 1) * capacity - total - waste
-                options = [(top, *f) for f in fillings(left, [s for s in order if left[s]], capacity - top, allowed, budget)]
-                left[top] += 1
+                # its own copy, as lower levels change what is left
+                rest = Counter({s: left[s] - (s == top) for s in order})
+                options = fillings(rest, [s for s in order if rest[s]], capacity - top, allowed, budget)
             elif len(used) < len(best):
                 best = [list(u) for u in used]
-            stack.append(options[::-1])
-        if stack[-1]:
-            take = stack[-1].pop()
+            stack.append((top, options))
+        top, options = stack[-1]
+        # the incumbent may have become better since the level began
+        over, rest_of = next(options, (0, None))
+        if rest_of is not None and over <= (len(best) - 1) * capacity - total - waste:
+            take = (top, *rest_of)
             left.subtract(take)
             used.append(take)
-            waste += capacity - sum(take)
+            waste += over
             down = True
         else:
             stack.pop()
@@ -124,7 +159,12 @@ def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODE
             left.update(last)
             waste -= capacity - sum(last)
             down = False
-    return best
+    return best, len(best) > bound and budget[0] <= 0
+
+
+def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
+    """Containers as lists of sizes; no size exceeds the capacity."""
+    return search(sizes, capacity, nodes)[0]
 
 
 def _packer(capacity: int, nodes: int):

@@ -249,6 +249,17 @@ def test_packing_is_tight():
         assert best is None or len(boxes) == best
 
 
+def test_packing_of_long_documents():
+    """The search of a whole block reaches complete packings and does better than best fit."""
+    rng = random.Random(1)
+    sizes = [rng.randint(300, 900) for _ in range(4000)]
+    boxes = packing.bin_completion(sizes)
+    assert sorted(s for b in boxes for s in b) == sorted(sizes) and max(map(sum, boxes)) <= 2048
+    assert len(boxes) < len(packing.best_fit(sizes, 2048))
+    # two of these at most fit into a container: proven, not given up
+    assert packing.search([rng.randint(700, 1100) for _ in range(4000)])[1] is False
+
+
 def test_packing(spark):
     items = [(i, s) for i, s in enumerate([5000, 2048, 2049, 0, None, 1, 2047, 1000, 1048, 300] * 5)]
     got = packing.pack(spark.createDataFrame(items, "key bigint, tokens bigint"), block=20).collect()
