@@ -2,7 +2,8 @@
 
 Every field is reduced to what survives spelling: sorted name words, bare identifiers, eight date digits, the last seven
 digits of a phone, the local part of a mail address, the words of an address. Values that stand for nothing (placeholders)
-are null. Values that many different people share are found by counting over all rows, never by a list.
+are null. Values that many different people share are found by counting over all rows, never by a list: a phone's or mail
+address's short form gives way to the whole one where it is shared, and to null where that is shared too.
 """
 
 from __future__ import annotations
@@ -14,16 +15,19 @@ from kinmesh.llm.common import NOISE, label, words
 from kinmesh.llm.survivor import usable_phone
 from kinmesh.storage import Scratch
 
-#: A phone, mail address or identifier held by more than this many different names identifies nobody.
+#: A phone, mail address or identifier identifies nobody if none of its holders has one in so many of its records.
 HOLDERS = 20
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """customer_key, run_id, src and the comparable fields name, nid, dob, phone, mail, addr, city of customer records."""
+    """customer_key, run_id, src and the comparable fields name, nid, dob, phone, mail, addr, city of customer records.
+
+    phone_whole and mail_whole are the number and the address that phone and mail are cut from.
+    """
     name = F.array_join(F.array_sort(words(F.col("name_norm"))), " ")
     nid = F.regexp_replace(F.upper("natid_norm"), "[^A-Z0-9]", "")
     digits = F.regexp_replace("dob_norm", r"\D", "")
-    phone = F.right(usable_phone(F.col("phone_norm")), F.lit(7))
+    number = usable_phone(F.col("phone_norm"))
     mail = F.regexp_replace(F.lower("email_norm"), r"[<>;\s]", "")
     addr = F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(F.upper("address_norm"), NOISE, " ")), " ")), " ")
     return df.select(
@@ -31,16 +35,20 @@ def profile(df: DataFrame) -> DataFrame:
         F.nullif(name, F.lit("")).alias("name"),
         F.when(F.length(nid).between(6, 20) & nid.rlike(r"\d{5}"), nid).alias("nid"),
         F.when(digits.rlike(r"^(19|20)\d{6}$"), digits).alias("dob"),
-        phone.alias("phone"),
+        F.right(number, F.lit(7)).alias("phone"),
         F.when(mail.rlike(r"^[^@]{3,}@"), F.regexp_replace(F.substring_index(mail, "@", 1), r"[^\p{L}\p{N}]", "")).alias("mail"),
         F.when(F.length(addr) >= 5, addr).alias("addr"),
         F.nullif(F.regexp_replace(F.upper("city_norm"), NOISE, ""), F.lit("")).alias("city"),
+        number.alias("phone_whole"),
+        F.when(mail.rlike(r"^[^@]{3,}@"), mail).alias("mail_whole"),
     )
 
 
 def shared(profiles: DataFrame, field: str) -> DataFrame:
-    """Values of a field that more than HOLDERS different names hold."""
-    return profiles.where(F.col(field).isNotNull()).groupBy(field).agg(F.approx_count_distinct("name", 0.05).alias("names")).where(F.col("names") > HOLDERS).select(field)
+    """Values of a field of whose records no person has one in HOLDERS; a person is a birth date, else an identifier or name."""
+    who = [F.col(c) for c in ("dob", "nid", "name") if c != field]
+    held = profiles.where(F.col(field).isNotNull()).groupBy(field, F.coalesce(*who).alias("who")).agg(F.count(F.lit(1)).alias("n")).where("who is not null")
+    return held.groupBy(field).agg(F.max("n").alias("most"), F.sum("n").alias("every")).where(F.col("most") * HOLDERS < F.col("every")).select(field)
 
 
 def prepared(customers: DataFrame) -> DataFrame:
@@ -53,11 +61,17 @@ def prepared(customers: DataFrame) -> DataFrame:
 
 
 def without_shared(profiles: DataFrame) -> DataFrame:
-    """Profiles with phones, mail addresses and identifiers that many share set to null; no row is lost."""
+    """Profiles with phones, mail addresses and identifiers that many share made whole or null; no row is lost."""
     for field in ("phone", "mail", "nid"):
         bad = shared(profiles, field).withColumn("__shared", F.lit(True))
-        profiles = profiles.join(bad, field, "left").withColumn(field, F.when(F.col("__shared").isNull(), F.col(field))).drop("__shared")
-    return profiles
+        kept, whole = F.lit(None), f"{field}_whole"
+        if field != "nid":
+            lost = shared(profiles.join(bad, field, "left_semi"), whole).withColumn("__lost", F.lit(True))
+            kept = F.when(F.col("__lost").isNull(), F.col(whole))
+        marked = profiles.join(bad, field, "left")
+        marked = marked if field == "nid" else marked.join(lost, whole, "left")
+        profiles = marked.withColumn(field, F.when(F.col("__shared").isNull(), F.col(field)).otherwise(kept)).drop("__shared", "__lost")
+    return profiles.drop("phone_whole", "mail_whole")
 
 
 def _near(a: Column, b: Column, most: int) -> Column:

@@ -43,6 +43,20 @@ def test_increments_all_at_once(spark, deliveries):
     assert increments.probe_all(deliveries.where("false").select("id", "scope", "at", *increments.FIELDS)).count() == 0
 
 
+def test_shared_values(spark):
+    """A person of many spellings keeps its values; a tail or local part of many people becomes the whole; what all share goes."""
+    rows = [(f"o{i}", "r", "A", f"ANN LIND{chr(97 + i)}", "5552345671", "ann.lindquist@mail.example", "1980-02-03", None, None, "ID1234567890") for i in range(25)]
+    rows += [(f"t{i}", "r", "A", f"BOB WELL{chr(97 + i)}", f"5{20 + i}7654329", f"info@firm{i}.example", f"19{50 + i}-11-23", None, None, None) for i in range(25)]
+    rows += [(f"s{i}", "r", "A", f"CYD HOLM{chr(97 + i)}", "5558882211", "post@shared.example", f"19{50 + i}-11-24", None, None, "P0987654321") for i in range(25)]
+    rows += [("n", "r", "A", *[None] * 7)]
+    out = person.without_shared(person.profile(_people(spark, rows)))
+    got = {r.customer_key: (r.phone, r.mail, r.nid) for r in out.collect()}
+    assert len(got) == len(rows) and "phone_whole" not in out.columns
+    assert all(got[f"o{i}"] == ("2345671", "annlindquist", "ID1234567890") for i in range(25))
+    assert all(got[f"t{i}"] == (f"5{20 + i}7654329", f"info@firm{i}.example", None) for i in range(25))
+    assert all(got[f"s{i}"] == (None, None, None) for i in range(25)) and got["n"] == (None, None, None)
+
+
 def test_increments_batch_by_batch(spark, deliveries, tmp_path):
     history = increments.History(spark, str(tmp_path / "index"))
     repeats = set()
