@@ -216,7 +216,8 @@ def resolve(rows: DataFrame) -> DataFrame:
 def same_place(addresses: DataFrame, units: bool = False) -> DataFrame:
     """(a_seq, b_seq): all pairs at one building (units: at one unit), smaller first.
 
-    Streets are one if they are spelled alike after correction, or if they are neighbours and number and city are the same.
+    Streets are one if they are spelled alike after correction, or if they are neighbours; the number is the same, and the
+    place is vetoed alike for both.
     """
     scratch = Scratch(addresses.sparkSession, "blocks")
     rows = scratch.put(addresses.drop("whole"))
@@ -225,11 +226,11 @@ def same_place(addresses: DataFrame, units: bool = False) -> DataFrame:
     fits = agree("kind") & agree("way") & (agree("unit") if units else F.lit(True))
     place = (F.col("city") == F.col("o_city")) | (F.col("city") == "") | (F.col("o_city") == "") | ((F.col("post") != "") & (F.col("post") == F.col("o_post"))) | (F.levenshtein("city", "o_city", 2) >= 0)
     alike = rows.join(other, (F.col("street") == F.col("o_street")) & (F.col("number") == F.col("o_number"))).where(F.col("seq") < F.col("o_seq")).where(fits & place)
-    known = rows.where((F.col("city") != "") & (F.length("street") >= 6)).select("street", "number", "city").distinct()
-    index = known.select("street", "number", "city", F.explode(F.transform(F.array_distinct(_deletions(F.col("street"))), lambda v: F.xxhash64(v))).alias("v"))
-    twin = index.select(F.col("street").alias("o_street"), F.col("number").alias("o_number"), F.col("city").alias("o_city"), F.col("v").alias("o_v"))
-    near = index.join(twin, (F.col("number") == F.col("o_number")) & (F.col("city") == F.col("o_city")) & (F.col("v") == F.col("o_v")))
-    near = near.where(F.col("street") < F.col("o_street")).where(F.levenshtein("street", "o_street", 2) >= 0).select("street", F.col("o_street").alias("n_street"), "number", "city").distinct()
-    spelled = rows.join(near, ["street", "number", "city"]).join(other, (F.col("n_street") == F.col("o_street")) & (F.col("number") == F.col("o_number")) & (F.col("city") == F.col("o_city"))).where(fits)
+    known = rows.where(F.length("street") >= 6).select("street", "number").distinct()
+    index = known.select("street", "number", F.explode(F.transform(F.array_distinct(_deletions(F.col("street"))), lambda v: F.xxhash64(v))).alias("v"))
+    twin = index.select(F.col("street").alias("o_street"), F.col("number").alias("o_number"), F.col("v").alias("o_v"))
+    near = index.join(twin, (F.col("number") == F.col("o_number")) & (F.col("v") == F.col("o_v")))
+    near = near.where(F.col("street") < F.col("o_street")).where(F.levenshtein("street", "o_street", 2) >= 0).select("street", F.col("o_street").alias("n_street"), "number").distinct()
+    spelled = rows.join(near, ["street", "number"]).join(other, (F.col("n_street") == F.col("o_street")) & (F.col("number") == F.col("o_number"))).where(fits & place)
     pair = lambda df: df.select(F.least("seq", "o_seq").alias("a_seq"), F.greatest("seq", "o_seq").alias("b_seq"))
     return pair(alike).unionByName(pair(spelled))

@@ -111,6 +111,13 @@ def test_places(spark):
     assert places.same_place(places.resolve(df.where("false"))).count() == 0
 
 
+def test_misspelt_streets_of_other_forms_of_a_place(spark):
+    """Neighbouring streets, written equally often, meet without a city and by postcode; other cities stay apart."""
+    rows = [(1, ["1632 DUUNDAHURST"], "RAMPURVADA", None), (2, ["1632 DUNDAHURST"], None, None), (3, ["7 ELMGATEHOLM RD"], "NORHAVEN", "12345"), (4, ["7 ELMGATEHOLLM RD"], "OBERTILL", "12345"), (5, ["9 CEDARPADSLE RD"], "NORHAVEN", None), (6, ["9 CEDARPADSLEE RD"], "OBERTILL", None)]
+    df = spark.createDataFrame(rows, "seq bigint, parts array<string>, city string, post string")
+    assert {tuple(r) for r in places.same_place(places.resolve(df)).collect()} == {(1, 2), (3, 4)}
+
+
 # ---- 4
 
 
