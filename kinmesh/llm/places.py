@@ -107,6 +107,11 @@ def parse(parts: list[str | None], city: str | None, post: str | None) -> tuple[
         ws = t.replace("#", " ").split()
         if not ws:
             continue
+        rest = [w for w in ws[1:] if not (w.isdigit() and len(w) == 5)]
+        ended = len(rest) > 1 and (rest[-1] in KIND_OF or len(rest) > 2 and rest[-1] in WAY_OF and rest[-2] in KIND_OF)
+        # five figures in front of a street with its kind, and no other number: a house
+        if number is None and re.fullmatch(r"\d{5}", ws[0]) and ws[0] != (post or "").strip() and ended and not any(c.isdigit() for w in rest for c in w):
+            number, explicit = int(ws.pop(0)), True
         codes = [w for w in ws if w.isdigit() and len(w) == 5]
         ws = [w for w in ws if not (w.isdigit() and len(w) == 5)]
         post = post or (codes[0] if codes else None)
@@ -151,7 +156,8 @@ def parse(parts: list[str | None], city: str | None, post: str | None) -> tuple[
     street = whole
     if not kind and (m := _GERMAN.match(whole)):
         street, kind = m[1], GLUED[m[2]]
-    if len(street) < 4:
+    # short names are streets, but not a kind, direction or unit that stands alone
+    if not any(c.isalpha() for c in street) or len(street) < 4 and not kind and whole in _EMPTY_WORDS:
         return None
     return street, number, kind, way, unit, hint, (post or "").strip(), whole
 

@@ -92,6 +92,15 @@ def test_address_parts(parts, city, want):
     assert places.parse(parts, city, None)[:6] == want
 
 
+def test_short_streets_and_long_numbers():
+    assert places.parse(["12 ELM ST"], "X", None)[:3] == ("ELM", 12, "ST")
+    assert places.parse(["7 Bay Ln."], None, None)[:3] == ("BAY", 7, "LN")
+    assert places.parse(["12345 MAIN ST"], "X", None)[:3] == ("MAIN", 12345, "ST")
+    assert places.parse(["12345 MAIN ST 54321"], "X", None)[6] == "54321"
+    assert places.parse(["Hauptstrasse 5", "32601 Altenbruck"], None, None)[1] == 5
+    assert places.parse(["12 ST"], "X", None) is None and places.parse(["32601 ALTENBRUCK"], None, None) is None
+
+
 def test_addresses_without_place():
     assert places.parse([None, ""], "X", None) is None
     assert places.parse(["Somewhere"], "X", "12345") is None
