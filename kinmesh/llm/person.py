@@ -19,58 +19,74 @@ from kinmesh.storage import Scratch
 HOLDERS = 20
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """customer_key, run_id, src and the comparable fields name, nid, dob, phone, mail, addr, city of customer records.
+def profile(df: DataFrame, *keep: str) -> DataFrame:
+    """`keep`, src and the comparable fields name, nid, dob, phone, mail, addr, city of customer records.
 
-    phone_whole and mail_whole are the number and the address that phone and mail are cut from.
+    phone_whole and mail_whole are the number and the address that phone and mail are cut from. Every stage is a projection
+    of its own, so that no expression is computed twice.
     """
-    name = F.array_join(F.array_sort(words(F.col("name_norm"))), " ")
-    nid = F.regexp_replace(F.upper("natid_norm"), "[^A-Z0-9]", "")
-    digits = F.regexp_replace("dob_norm", r"\D", "")
-    number = usable_phone(F.col("phone_norm"))
-    mail = F.regexp_replace(F.lower("email_norm"), r"[<>;\s]", "")
-    addr = F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(F.upper("address_norm"), NOISE, " ")), " ")), " ")
-    return df.select(
-        "customer_key", "run_id", label(F.col("source_system")).alias("src"),
-        F.nullif(name, F.lit("")).alias("name"),
-        F.when(F.length(nid).between(6, 20) & nid.rlike(r"\d{5}"), nid).alias("nid"),
-        F.when(digits.rlike(r"^(19|20)\d{6}$"), digits).alias("dob"),
-        F.right(number, F.lit(7)).alias("phone"),
-        F.when(mail.rlike(r"^[^@]{3,}@"), F.regexp_replace(F.substring_index(mail, "@", 1), r"[^\p{L}\p{N}]", "")).alias("mail"),
-        F.when(F.length(addr) >= 5, addr).alias("addr"),
-        F.nullif(F.regexp_replace(F.upper("city_norm"), NOISE, ""), F.lit("")).alias("city"),
-        number.alias("phone_whole"),
-        F.when(mail.rlike(r"^[^@]{3,}@"), mail).alias("mail_whole"),
+    up = df.select(
+        *keep, label(F.col("source_system")).alias("src"), F.array_join(F.array_sort(words(F.col("name_norm"))), " ").alias("name"),
+        F.regexp_replace(F.upper("natid_norm"), "[^A-Z0-9]", "").alias("nid"), F.regexp_replace("dob_norm", r"\D", "").alias("dob"),
+        usable_phone(F.col("phone_norm")).alias("phone_whole"), F.regexp_replace(F.lower("email_norm"), r"[<>;\s]", "").alias("mail_whole"),
+        F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(F.upper("address_norm"), NOISE, " ")), " ")), " ").alias("addr"),
+        F.regexp_replace(F.upper("city_norm"), NOISE, "").alias("city"),
+    )
+    up = up.withColumn("mail_whole", F.when(F.instr("mail_whole", "@") > 3, F.col("mail_whole")))
+    none = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    return up.select(
+        *keep, "src", none("name"), F.when(F.length("nid").between(6, 20) & F.col("nid").rlike(r"\d{5}"), F.col("nid")).alias("nid"),
+        F.when((F.length("dob") == 8) & F.left("dob", F.lit(2)).isin("19", "20"), F.col("dob")).alias("dob"), F.right("phone_whole", F.lit(7)).alias("phone"),
+        F.regexp_replace(F.substring_index("mail_whole", "@", 1), r"[^\p{L}\p{N}]", "").alias("mail"), F.when(F.length("addr") >= 5, F.col("addr")).alias("addr"),
+        none("city"), "phone_whole", "mail_whole",
     )
 
 
-def shared(profiles: DataFrame, field: str) -> DataFrame:
-    """Values of a field of whose records no person has one in HOLDERS; a person is a birth date, else an identifier or name."""
-    who = [F.col(c) for c in ("dob", "nid", "name") if c != field]
-    held = profiles.where(F.col(field).isNotNull()).groupBy(field, F.coalesce(*who).alias("who")).agg(F.count(F.lit(1)).alias("n")).where("who is not null")
-    return held.groupBy(field).agg(F.max("n").alias("most"), F.sum("n").alias("every")).where(F.col("most") * HOLDERS < F.col("every")).select(field)
-
-
-def prepared(customers: DataFrame) -> DataFrame:
+def prepared(customers: DataFrame, *keep: str) -> DataFrame:
     """Profiles of customer records without shared values, written once, as every use reads them several times."""
     scratch = Scratch(customers.sparkSession, "profiles")
-    first = scratch.put(profile(customers))
+    first = scratch.put(profile(customers, *keep))
     out = scratch.put(without_shared(first))
     scratch.drop(first)
     return out
 
 
+#: Fields whose shared values are dropped, and what the whole value of each is.
+SHAREABLE = {"phone": "phone_whole", "mail": "mail_whole", "nid": "nid"}
+
+
+def _shared(held: DataFrame, column: str) -> DataFrame:
+    """(field, value): values of `column` of whose records no person has one in HOLDERS; held: (field, short, whole, who)."""
+    each = held.groupBy("field", column, "who").agg(F.count(F.lit(1)).alias("n"))
+    both = each.groupBy("field", column).agg(F.max("n").alias("most"), F.sum("n").alias("every"))
+    return both.where(F.col("most") * HOLDERS < F.col("every")).select("field", F.col(column).alias("value"))
+
+
 def without_shared(profiles: DataFrame) -> DataFrame:
-    """Profiles with phones, mail addresses and identifiers that many share made whole or null; no row is lost."""
-    for field in ("phone", "mail", "nid"):
-        bad = shared(profiles, field).withColumn("__shared", F.lit(True))
-        kept, whole = F.lit(None), f"{field}_whole"
-        if field != "nid":
-            lost = shared(profiles.join(bad, field, "left_semi"), whole).withColumn("__lost", F.lit(True))
-            kept = F.when(F.col("__lost").isNull(), F.col(whole))
-        marked = profiles.join(bad, field, "left")
-        marked = marked if field == "nid" else marked.join(lost, whole, "left")
-        profiles = marked.withColumn(field, F.when(F.col("__shared").isNull(), F.col(field)).otherwise(kept)).drop("__shared", "__lost")
+    """Profiles with phones, mail addresses and identifiers that many share made whole or null; no row is lost.
+
+    A person is a birth date, else an identifier or name. A shared value has more than HOLDERS records, so values are
+    counted by hash first and only the holders of frequent ones are looked at; what is shared is decided by whole values.
+    The tables of shared values are written, so that their joins are planned by their true size.
+    """
+    who = {f: F.coalesce(*[F.col(c) for c in ("dob", "nid", "name") if c != f]) for f in SHAREABLE}
+    long = lambda *more: F.explode(F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & who[f].isNotNull(), F.struct(F.lit(f).alias("field"), F.xxhash64(F.lit(f), f).alias("h"), *[x(f) for x in more])) for f in SHAREABLE]))).alias("v")
+    often = profiles.select(long()).groupBy("v.h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOLDERS).select("h")
+    scratch = Scratch(profiles.sparkSession, "shared")
+    often = scratch.put(often)
+    held = profiles.select(long(lambda f: F.col(f).alias("short"), lambda f: F.col(SHAREABLE[f]).alias("whole"), lambda f: who[f].alias("who"))).select("v.*")
+    held = scratch.put(held.join(often, "h", "left_semi").drop("h"))
+    short = scratch.put(_shared(held, "short"))
+    whole = scratch.put(_shared(held.join(short.withColumnRenamed("value", "short"), ["field", "short"], "left_semi"), "whole"))
+    for f, w in SHAREABLE.items():
+        bad = short.where(F.col("field") == f).select(F.col("value").alias(f), F.lit(True).alias("__shared"))
+        profiles = profiles.join(bad, f, "left")
+        if w != f:
+            lost = whole.where(F.col("field") == f).select(F.col("value").alias(w), F.lit(True).alias("__lost"))
+            profiles = profiles.join(lost, w, "left").withColumn(f, F.when(F.col("__shared").isNull(), F.col(f)).when(F.col("__lost").isNull(), F.col(w))).drop("__lost")
+        else:
+            profiles = profiles.withColumn(f, F.when(F.col("__shared").isNull(), F.col(f)))
+        profiles = profiles.drop("__shared")
     return profiles.drop("phone_whole", "mail_whole")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmesh.llm import copies, grouping, increments, matching, oracles, packing, person, places, survivor, tokens, truncation
 from kinmesh.llm.common import label, words
-from kinmesh.storage import table
+from kinmesh.storage import Scratch, table
 
 # ---- 4: groups
 
@@ -119,13 +121,31 @@ def p8_text(spark: SparkSession, d: str) -> DataFrame:
 # ---- 2: increments
 
 
+#: The history is replayed in so many deliveries, each a range of runs; in production every run is one.
+DELIVERIES = 3
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Records of DELTA runs that an earlier run has delivered for the same person and source."""
-    runs = table(spark, d, "runs").groupBy("run_id").agg(F.max("started_at").alias("at"), F.max(F.when(label(F.col("mode")) == "DELTA", 1).otherwise(0)).alias("delta"))
-    people = person.prepared(table(spark, d, "customers_norm")).join(runs, "run_id")
-    people = people.withColumns({"id": F.xxhash64("customer_key"), "scope": F.coalesce("src", F.lit(""))})
-    repeats = increments.probe_all(people.select("id", "scope", "at", *increments.FIELDS))
-    return people.where("delta = 1").join(repeats.select("id"), "id", "left_semi").select("customer_key")
+    """Records of DELTA runs that an earlier run has delivered for the same person and source.
+
+    Runs are delivered to the index in order of time, DELIVERIES ranges of about equal numbers of records.
+    """
+    runs = table(spark, d, "runs").groupBy("run_id").agg(F.max("started_at").alias("at"), F.max(label(F.col("mode")) == "DELTA").alias("asks"))
+    customers = table(spark, d, "customers_norm").withColumn("id", F.coalesce("ingest_seq", F.xxhash64("customer_key")))
+    people = person.prepared(customers, "id", "run_id").join(runs, "run_id").select("id", F.coalesce("src", F.lit("")).alias("scope"), "at", F.coalesce("asks", F.lit(False)).alias("asks"), *increments.FIELDS)
+    said = people.agg(F.count(F.lit(1)), F.percentile_approx(F.unix_micros("at"), [i / DELIVERIES for i in range(1, DELIVERIES)], 10_000)).first()
+    edges = [None, *(said[1] or []), None]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), said[0] * increments.BANDS // 4_000_000)
+    place = Scratch(spark, "history")
+    history = increments.History(spark, place.root, buckets)
+    found = []
+    for lo, hi in zip(edges, edges[1:]):
+        at = F.unix_micros("at")
+        after, upto = at > lo if lo is not None else F.lit(True), at <= hi if hi is not None else F.lit(True)
+        found.append(history.deliver(people.where(after & upto)).select("id"))
+    history.forget()
+    place.sweep()
+    return customers.join(reduce(DataFrame.unionByName, found), "id", "left_semi").select("customer_key")
 
 
 # ---- 3: places
@@ -146,7 +166,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(a_key, b_key, confidence) of records of one person in different sources."""
-    people = person.prepared(table(spark, d, "customers_norm")).withColumn("id", F.xxhash64("customer_key"))
+    people = person.prepared(table(spark, d, "customers_norm").withColumn("id", F.coalesce("ingest_seq", F.xxhash64("customer_key"))), "id", "customer_key")
     found = matching.matches(people)
     name = lambda p: people.select(F.col("id").alias(p), F.col("customer_key").alias(f"{p}_key"))
     named = found.join(name("a"), "a").join(name("b"), "b")
@@ -162,8 +182,6 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, part, tokens, container): every document in containers of 2,048 tokens."""
-    from kinmesh.storage import Scratch
-
     sized = Scratch(spark, "lengths").put(tokens.lengths(table(spark, d, "documents"), "doc_id", "text"))
     return packing.pack(sized).withColumnRenamed("key", "doc_id")
 

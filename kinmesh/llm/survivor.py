@@ -69,6 +69,7 @@ def consensus(values: DataFrame, vote: str, single: bool) -> DataFrame:
 def usable_phone(c: Column) -> Column:
     """Digits of a phone with at least seven, neither one digit repeated nor counted up or down (9 is followed by 0)."""
     digits = F.regexp_replace(c, r"\D", "")
-    steps = F.transform(F.sequence(F.lit(1), F.length(digits) - 1), lambda i: F.pmod(F.substring(digits, i + 1, 1).cast("int") - F.substring(digits, i, 1).cast("int"), F.lit(10)))
-    regular = F.array_contains(F.array(F.lit(0), F.lit(1), F.lit(9)), steps[0]) & (F.size(F.array_distinct(steps)) == 1)
-    return F.when((F.length(digits) >= 7) & ~F.when(F.length(digits) >= 7, regular).otherwise(False), digits)
+    # digits counted up are a part of 01234567890123...; `round` is one turn more than the digits can need
+    round_ = (F.length(digits) / 10 + 2).cast("int")
+    counted = F.contains(F.repeat(F.lit("0123456789"), round_), digits) | F.contains(F.repeat(F.lit("9876543210"), round_), digits)
+    return F.when((F.length(digits) >= 7) & ~digits.rlike(r"^(\d)\1*$") & ~counted, digits)
