@@ -1,23 +1,25 @@
 """Problem 6: the same entities in several sources that share no key.
 
-Each attribute is encoded as a fixed 64-bit vector of its hashed q-grams. Multi-index hashing finds, without comparing all
-pairs, every pair that agrees in all bits of one of SUBSTRINGS, and every pair that agrees in the second attribute of one
-of NEAR and differs in at most RADIUS bits of the first (a wrong letter changes four bits at most): the first is cut into
-RADIUS + 1 pieces, of which such a pair has one in common. Found pairs get a field-weighted Dice score of the
-vectors; how often a score means the same entity is read off the pairs whose identifiers decide it, made monotone, and
-combined with the identifier's own evidence into a confidence.
-
-Skew: phones and mail addresses that many people share are no evidence; whole substrings hold enough bits of information
-that their buckets stay small, those of a piece and a date or a word grow with the data; a hot bucket is split by the skew
-join of adaptive execution and no pair is dropped.
-
-Defined edge cases: an attribute that is null on either side neither helps nor harms; records without any complete
-substring are in no pair; repeated rows are paired like others; empty tables give empty results.
+Each attribute is encoded as a fixed 64-bit vector of its hashed q-grams. Multi-index Hamming hashing finds, without
+comparing all pairs, exactly the pairs that are equal in a vector of WHOLE or lie within RADIUS bits in a view of VIEWS. A
+view is the vector of one attribute behind that of a second one, which must be equal: the first is cut into RADIUS + 1
+pieces, of which a pair within the radius has one in common (a wrong letter changes four bits at most). What a bucket
+brings together is compared by its vectors before it counts as found.
+
+Found pairs get a field-weighted Dice score of the attributes other than the identifier. Score and agreement of identifiers
+are two views of one hidden fact; expectation maximisation over the counts of all found pairs (a table of a few hundred
+cells) gives the confidence of every cell, made monotone in the score.
+
+Skew: records whose attributes are equal to the letter are one class per source before anything is joined; values that many
+people share, stand-in dates among them, are no evidence. What is left of a hot bucket is split by the skew join of adaptive
+execution; no pair is dropped.
+
+Defined edge cases: an attribute that is null on either side neither helps nor harms; records that share no WHOLE and no view
+are in no pair; repeated rows are paired like others; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,18 +32,14 @@ from kinmesh.storage import Scratch
 
 #: Attributes, and whether a q-gram's place in the value counts.
 ENCODED = {"name": False, "word": False, "nid": True, "dob": True, "mail": False, "phone": True, "addr": False}
-SUBSTRINGS = [("nid",), ("mail",), ("name", "dob"), ("word", "dob"), ("phone", "dob"), ("phone", "name"), ("addr", "name"), ("addr", "dob"), ("addr", "phone")]
-#: Attributes that may differ in RADIUS bits while the second is equal; `word` stands for the name where it has no long word.
-NEAR = [("name", "dob"), ("nid", "dob"), ("mail", "dob"), ("addr", "dob"), ("nid", "word"), ("mail", "word"), ("addr", "name")]
-RADIUS = 4
-#: Buckets by whole attributes; the phone alone and the pieces of NEAR imply the other SUBSTRINGS.
 WHOLE = [("nid",), ("mail",), ("phone",), ("word", "dob")]
+#: (near, equal): the first attribute within RADIUS bits while the second is equal; `word` is the name where it has no long word.
+VIEWS = [("name", "dob"), ("nid", "dob"), ("mail", "dob"), ("addr", "dob"), ("nid", "word"), ("mail", "word"), ("addr", "name")]
+RADIUS = 4
 WEIGHTS = {"name": 2.0, "dob": 2.5, "mail": 2.5, "phone": 1.5, "addr": 1.5}
-BINS, SHRINK = 50, 1.0
-#: Points of person.same_person() that a found pair needs.
-AGREED = 4.0
-#: Log-odds that equal, nearly equal and different identifiers add.
-SAME_ID, NEAR_ID, OTHER_ID = 7.0, 2.5, -6.0
+BINS, SHRINK, ROUNDS = 50, 1.0, 20
+#: Dice scores from which two identifiers count as the same and as nearly the same.
+SAME, NEARLY = 0.999, 0.7
 
 
 def _vector(values: pa.Array, positional: bool, seed: int) -> np.ndarray:
@@ -66,19 +64,23 @@ def _vector(values: pa.Array, positional: bool, seed: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+#: Written attributes that stay beside the vectors, for the check of what was found.
+WRITTEN = ["name", "nid", "dob", "mail"]
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for b in batches:
             vectors = [pa.array(_vector(b.column(n), placed, i)) for i, (n, placed) in enumerate(ENCODED.items())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("src"), *vectors], names=["id", "src", *ENCODED])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("src"), *vectors, *(b.column(n) for n in WRITTEN)], names=["id", "src", *ENCODED, *(f"t_{n}" for n in WRITTEN)])
 
 
 def vectors(profiles: DataFrame) -> DataFrame:
-    """(id, src, a 64-bit vector per attribute) of profiles with id; `word` is the longest word of the name."""
+    """(id, src, a 64-bit vector per attribute, t_ and the written attribute) of profiles with id; `word` is the longest word of the name."""
     ws = F.split("name", " ")
     longest = F.array_max(F.transform(ws, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
     rows = profiles.select("id", "src", "name", F.when(F.length(longest) >= 5, longest).alias("word"), "nid", "dob", "mail", "phone", "addr")
-    return rows.mapInArrow(_encode, "id bigint, src string, " + ", ".join(f"{n} bigint" for n in ENCODED))
+    return rows.mapInArrow(_encode, "id bigint, src string, " + ", ".join([f"{n} bigint" for n in ENCODED] + [f"t_{n} string" for n in WRITTEN]))
 
 
 def _pieces(c: Column) -> list[Column]:
@@ -87,17 +89,21 @@ def _pieces(c: Column) -> list[Column]:
     return [F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
 
 
+def _attribute(n: str, side: str = "") -> Column:
+    c = F.col(f"{side}{n}")
+    return F.when(c != 0, c).otherwise(F.col(f"{side}name")) if n == "word" else c
+
+
 def _keys() -> list[Column]:
     """Every bucket of a record, null where an attribute is missing."""
-    word = F.when(F.col("word") != 0, F.col("word")).otherwise(F.col("name"))
-    parts = [([F.col(n) for n in s], [F.lit(0)]) for s in WHOLE]
-    parts += [([F.col(n), word if m == "word" else F.col(m)], _pieces(F.col(n))) for n, m in NEAR]
     out = []
-    for whole, pieces in parts:
-        there = F.least(*[F.when(c != 0, 1).otherwise(0) for c in whole], F.lit(1)) == 1
-        for piece in pieces:
-            held = whole if len(pieces) == 1 else [whole[1], piece]
-            out.append(F.when(there, F.xxhash64(F.lit(len(out)), *held)))
+    for s in WHOLE:
+        there = F.least(*[F.when(F.col(n) != 0, 1).otherwise(0) for n in s], F.lit(1)) == 1
+        out.append(F.when(there, F.xxhash64(F.lit(len(out)), *[F.col(n) for n in s])))
+    for near, equal in VIEWS:
+        there = (F.col(near) != 0) & (_attribute(equal) != 0)
+        for piece in _pieces(F.col(near)):
+            out.append(F.when(there, F.xxhash64(F.lit(len(out)), _attribute(equal), piece)))
     return out
 
 
@@ -109,55 +115,98 @@ def candidates(encoded: DataFrame) -> DataFrame:
     return side("a").join(side("b"), F.col("a_key") == F.col("b_key")).where("a_src != b_src and a < b").select("a", "b").distinct()
 
 
+def _found() -> Column:
+    """Whether a pair is equal in one of WHOLE or within RADIUS in one of VIEWS."""
+    same = lambda n: (_attribute(n, "a_") == _attribute(n, "b_")) & (_attribute(n, "a_") != 0)
+    exact = lambda n: (F.col(f"a_{n}") == F.col(f"b_{n}")) & (F.col(f"a_{n}") != 0)
+    within = lambda n: (F.col(f"a_{n}") != 0) & (F.col(f"b_{n}") != 0) & (F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) <= RADIUS)
+    out = F.lit(False)
+    for s in WHOLE:
+        out = out | (exact(s[0]) if len(s) == 1 else exact(s[0]) & exact(s[1]))
+    for near, equal in VIEWS:
+        out = out | within(near) & same(equal)
+    return out
+
+
 def dice(a: Column, b: Column) -> Column:
     """Dice's coefficient of two bit vectors, null if either is empty."""
     return F.when((a != 0) & (b != 0), 2.0 * F.bit_count(a.bitwiseAND(b)) / (F.bit_count(a) + F.bit_count(b)))
 
 
 def scored(pairs: DataFrame, encoded: DataFrame) -> DataFrame:
-    """Adds score (attributes other than the identifier), nid (Dice of the identifiers, null if either lacks it) and plain
-    (the pair agrees in one of SUBSTRINGS without the identifier)."""
-    side = lambda p: encoded.select(F.col("id").alias(p), *[F.col(n).alias(f"{p}_{n}") for n in ENCODED])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    d = {n: dice(F.col(f"a_{n}"), F.col(f"b_{n}")) for n in ["nid", *WEIGHTS]}
-    top = sum(F.coalesce(d[n] * w, F.lit(0.0)) for n, w in WEIGHTS.items())
-    bottom = sum(F.when(d[n].isNotNull(), w).otherwise(0.0) for n, w in WEIGHTS.items())
-    equal = {n: F.when((F.col(f"a_{n}") != 0) & (F.col(f"a_{n}") == F.col(f"b_{n}")), 1).otherwise(0) for n in ENCODED}
-    plain = F.greatest(*[F.least(*[equal[n] for n in s], F.lit(1)) for s in SUBSTRINGS if s != ("nid",)]) == 1
-    return both.select("a", "b", plain.alias("plain"), ((top + 0.5 * SHRINK) / (bottom + SHRINK)).alias("score"), d["nid"].alias("nid"))
-
-
-def calibration(pairs: DataFrame) -> list[float]:
-    """Chance of one entity for each of BINS bins of the score: isotonic fit over all pairs whose identifiers decide."""
-    decided = pairs.where("plain and nid is not null").groupBy(F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("nid") > 0.75).alias("same"))
-    seen = {r.bin: (r.n, r.same) for r in decided.collect()}  # at most BINS rows
-    blocks: list[list[float]] = []  # pooled adjacent violators: weight, sum, number of bins
-    for k in range(BINS):
-        n, same = seen.get(k, (0, 0))
-        prior = 0.5 * (k / BINS)
-        blocks.append([n + 0.5, same + prior, 1])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][0] > blocks[-1][1] / blocks[-1][0]:
-            w, s, c = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + w, blocks[-1][1] + s, blocks[-1][2] + c]
-    return [s / w for w, s, c in blocks for _ in range(c)]
-
-
-def confidences(profiles: DataFrame) -> DataFrame:
-    """(a, b, confidence) of all found pairs; profiles as person.profile() with id, shared values removed."""
-    scratch = Scratch(profiles.sparkSession, "matching")
-    encoded = scratch.put(vectors(profiles))
+    """(a, b, bin, cat, veto) of the found ones of `pairs`: bin of the score of the attributes other than the identifier, and how the
+    identifiers agree (0 one is missing, 1 the same, 2 nearly, 3 different), and whether what is written contradicts."""
+    side = lambda p: encoded.select(F.col("id").alias(p), *[F.col(n).alias(f"{p}_{n}") for n in [*ENCODED, *(f"t_{n}" for n in WRITTEN)]])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_found())
+    both = both.select("a", "b", person.contradict("a_t_", "b_t_").alias("veto"), *[dice(F.col(f"a_{n}"), F.col(f"b_{n}")).alias(n) for n in ["nid", *WEIGHTS]])
+    top = sum(F.coalesce(F.col(n) * w, F.lit(0.0)) for n, w in WEIGHTS.items())
+    bottom = sum(F.when(F.col(n).isNotNull(), w).otherwise(0.0) for n, w in WEIGHTS.items())
+    score = (top + 0.5 * SHRINK) / (bottom + SHRINK)
+    cat = F.when(F.col("nid").isNull(), 0).when(F.col("nid") >= SAME, 1).when(F.col("nid") >= NEARLY, 2).otherwise(3)
+    return both.select("a", "b", F.least(F.floor(score * BINS), F.lit(BINS - 1)).cast("int").alias("bin"), cat.alias("cat"), "veto")
+
+
+def _monotone(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The closest non-decreasing rates (pooled adjacent violators)."""
+    blocks: list[list[float]] = []
+    for r, w in zip(rate, weight):
+        blocks.append([r * w, w, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] > blocks[-1][0] * blocks[-2][1]:
+            s, w_, c = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + w_, blocks[-1][2] + c]
+    return np.array([s / w for s, w, c in blocks for _ in range(c)])
+
+
+def calibration(counts: np.ndarray) -> np.ndarray:
+    """Chance of one entity for every (bin, cat), from how many found pairs each holds.
+
+    Two classes, in which score and identifier are independent given the class; the first guess is that same and nearly the
+    same identifiers mean one entity and different ones don't.
+    """
+    n = counts.astype(float)
+    guess = np.array([0.5, 0.98, 0.9, 0.05])
+    seen = n[:, 1:].sum(axis=1)
+    by_bin = (n[:, 1:] @ guess[1:] + 0.5 * np.linspace(0, 1, BINS)) / (seen + 0.5)
+    chance = np.tile(guess, (BINS, 1))
+    chance[:, 0] = _monotone(by_bin, seen + 0.5)
+    for _ in range(ROUNDS):
+        yes, no = n * chance, n * (1 - chance)
+        # identifiers, by class; a missing one says nothing
+        ids = [(x[:, 1:].sum(axis=0) + 0.5) / (x[:, 1:].sum() + 1.5) for x in (yes, no)]
+        odds_id = np.concatenate([[0.0], np.log(ids[0] / ids[1])])
+        rate = (yes.sum(axis=1) + 0.5 * np.linspace(0, 1, BINS)) / (n.sum(axis=1) + 0.5)
+        rate = np.clip(_monotone(rate, n.sum(axis=1) + 0.5), 1e-4, 1 - 1e-4)
+        chance = 1 / (1 + np.exp(-(np.log(rate / (1 - rate))[:, None] + odds_id[None, :])))
+    return chance
+
+
+def confidences(people: DataFrame) -> DataFrame:
+    """(a, b, confidence, veto) of all found pairs; people as person.profile() with id, shared values removed, no two alike in a source."""
+    scratch = Scratch(people.sparkSession, "matching")
+    encoded = scratch.put(vectors(people))
     pairs = scratch.put(scored(candidates(encoded), encoded))
-    chance = [min(max(p, 1e-4), 1 - 1e-4) for p in calibration(pairs)]
-    logits = F.array(*[F.lit(math.log(p / (1 - p))) for p in chance])
-    base = logits[F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")]
-    by_id = F.when(F.col("nid").isNull(), 0.0).when(F.col("nid") > 0.999, SAME_ID).when(F.col("nid") > 0.7, NEAR_ID).otherwise(OTHER_ID)
-    return pairs.select("a", "b", (1 / (1 + F.exp(-(base + by_id)))).alias("confidence"))
+    counts = np.zeros((BINS, 4))
+    for r in pairs.groupBy("bin", "cat").count().collect():  # at most BINS * 4 rows
+        counts[r["bin"], r["cat"]] = r["count"]
+    table = F.array(*[F.lit(float(c)) for c in calibration(counts).ravel()])
+    return pairs.select("a", "b", F.get(table, F.col("bin") * 4 + F.col("cat")).alias("confidence"), "veto")
 
 
 def matches(profiles: DataFrame, least: float = 0.5) -> DataFrame:
-    """(a, b, confidence): pairs at or above `least` whose written attributes don't contradict each other."""
-    found = confidences(profiles).where(F.col("confidence") >= least)
-    fields = ["name", "nid", "dob", "mail", "phone", "addr", "city"]
-    side = lambda p: profiles.select(F.col("id").alias(p), *[F.col(n).alias(f"{p}_{n}") for n in fields])
-    both = found.join(side("a"), "a").join(side("b"), "b")
-    return both.where(person.same_person("a_", "b_") >= AGREED).select("a", "b", "confidence")
+    """(a, b, confidence): pairs of records at or above `least`, ids as in profiles (id, src, fields).
+
+    An exact check follows the confidence: pairs whose written names or dates contradict are left out.
+    """
+    scratch = Scratch(profiles.sparkSession, "entities")
+    fields = ["name", "nid", "dob", "mail", "phone", "addr"]
+    content = [F.struct(F.col(f).isNull(), F.col(f)) for f in fields]
+    keyed = profiles.withColumns({"d1": F.xxhash64("src", *content), "d2": F.xxhash64(F.lit(1), *content[::-1], "src")})  # 128 bits are the identity of a class
+    classes = scratch.put(keyed.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("src").alias("src"), *[F.first(f).alias(f) for f in fields]))
+    found = scratch.put(confidences(classes).where((F.col("confidence") >= least) & ~F.col("veto")).drop("veto"))
+    # classes of several records are expanded at the end
+    several = scratch.put(classes.where("n > 1").select("d1", "d2", F.col("id").alias("class")))
+    members = scratch.put(keyed.select("id", "d1", "d2").join(several, ["d1", "d2"]).select("class", "id"))
+    for p in "ab":
+        more = members.select(F.col("class").alias(p), F.col("id").alias("__id"))
+        found = found.join(more, p, "left").withColumn(p, F.coalesce("__id", p)).drop("__id")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "confidence")

@@ -17,6 +17,8 @@ from kinmesh.storage import Scratch
 
 #: A phone, mail address or identifier identifies nobody if none of its holders has one in so many of its records.
 HOLDERS = 20
+#: A date of birth that is so many times as frequent as dates are on average stands for an unknown one.
+STAND_IN = 50
 
 
 def profile(df: DataFrame, *keep: str) -> DataFrame:
@@ -87,6 +89,10 @@ def without_shared(profiles: DataFrame) -> DataFrame:
         else:
             profiles = profiles.withColumn(f, F.when(F.col("__shared").isNull(), F.col(f)))
         profiles = profiles.drop("__shared")
+    dates = profiles.where("dob is not null").groupBy("dob").agg(F.count(F.lit(1)).alias("n"))
+    mean = dates.agg((F.sum("n") / F.count(F.lit(1))).alias("mean"))  # one row
+    odd = scratch.put(dates.crossJoin(F.broadcast(mean)).where(F.col("n") > STAND_IN * F.col("mean")).select("dob", F.lit(True).alias("__odd")))
+    profiles = profiles.join(odd, "dob", "left").withColumn("dob", F.when(F.col("__odd").isNull(), F.col("dob"))).drop("__odd")
     return profiles.drop("phone_whole", "mail_whole")
 
 
@@ -103,11 +109,7 @@ def same_person(a: str, b: str) -> Column:
         return F.when(x.isNull() | y.isNull(), 0.0).when(x == y, equal).when(_near(x, y, most), near).otherwise(differ)
 
     x, y = f("name")
-    # an initial stands for a name that begins with it: each word of the shorter list needs a partner in the other
-    shorter, longer = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
-    sw, lw = F.split(shorter, " "), F.split(longer, " ")
-    fits = F.forall(sw, lambda w: F.exists(lw, lambda v: (v == w) | ((F.length(w) == 1) & v.startswith(w)) | ((F.length(w) == 3) & v.startswith(w)) | ((F.length(w) > 3) & (F.levenshtein(v, w, 2) >= 0))))
-    name = F.when(x.isNull() | y.isNull(), 0.0).when(x == y, 3.0).when(_near(x, y, 2), 2.0).when(fits, 1.5).otherwise(-4.0)
+    name = F.when(x.isNull() | y.isNull(), 0.0).when(x == y, 3.0).when(_near(x, y, 2), 2.0).when(_fits(x, y), 1.5).otherwise(-4.0)
     dx, dy = f("dob")
     apart = F.abs(F.left(dx, F.lit(4)).cast("int") - F.left(dy, F.lit(4)).cast("int"))
     # the first of January often stands for an unknown day; one digit of the year apart is rather a parent than an error
@@ -120,3 +122,36 @@ def same_person(a: str, b: str) -> Column:
         points("nid", 7.0, 3.0, -6.0, 2) + dob + mail + points("phone", 2.5, 1.0, -1.0, 1)
         + points("addr", 1.5, 1.0, -0.5, 3) + points("city", 0.5, 0.5, -0.5, 2) + name
     )
+
+
+def _fits(x: Column, y: Column) -> Column:
+    """Whether each word of the shorter name has a partner in the other; an initial stands for a name that begins with it."""
+    shorter, longer = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
+    partner = lambda w, v: (v == w) | (F.length(w).isin(1, 3) & v.startswith(w)) | ((F.length(w) > 3) & (F.levenshtein(v, w, 2) >= 0))
+    return F.forall(F.split(shorter, " "), lambda w: F.exists(F.split(longer, " "), lambda v: partner(w, v)))
+
+
+def contradict(a: str, b: str) -> Column:
+    """Whether written names or birth dates of two profiles (column prefixes a and b) speak of different people.
+
+    Names contradict if a word of one has no partner in the other, dates if they differ in more than one digit, an exchanged
+    day and month or an unknown day. One of the two may, if identifiers or mail addresses are equal; null never does.
+    """
+    f = lambda n: (F.col(f"{a}{n}"), F.col(f"{b}{n}"))
+    x, y = f("name")
+    name = F.when(x.isNull() | y.isNull() | (x == y), False).when(_near(x, y, 2), False).otherwise(~_fits(x, y))
+    dx, dy = f("dob")
+    apart = F.abs(F.left(dx, F.lit(4)).cast("int") - F.left(dy, F.lit(4)).cast("int"))
+    exchanged = (F.left(dx, F.lit(4)) == F.left(dy, F.lit(4))) & (F.substring(dx, 5, 2) == F.right(dy, F.lit(2))) & (F.substring(dy, 5, 2) == F.right(dx, F.lit(2)))
+    unknown = (apart == 0) & (_near(dx, dy, 2) | dx.endswith("0101") | dy.endswith("0101")) | (apart == 1) & (F.right(dx, F.lit(4)) == F.right(dy, F.lit(4)))
+    # a generation apart is rather a parent of the same name than an error
+    dob = F.when(dx.isNull() | dy.isNull() | (dx == dy), False).otherwise(~(exchanged | unknown | _near(dx, dy, 1) & (apart < 15)))
+    # one name with another number is another account; with another or no date of birth it is a namesake's
+    mx, my = f("mail")
+    bare = lambda c: F.regexp_replace(c, r"\d", "")
+    namesake = F.coalesce((mx != my) & (bare(mx) == bare(my)), F.lit(False)) & ~F.coalesce(dx == dy, F.lit(False))
+    strong = F.lit(False)
+    for n in ("nid", "mail"):
+        u, v = f(n)
+        strong = strong | F.coalesce(u == v, F.lit(False))
+    return F.when(strong, name & dob).otherwise(name | dob | namesake)

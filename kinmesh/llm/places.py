@@ -1,16 +1,22 @@
 """Problem 3: postal addresses that name the same place in different ways.
 
-An address is cut into segments and its words are assigned to number, unit, street, kind of street, direction, locality and
-postcode; where a word could be several things, the assignment with the most explained words wins. Street names are
-corrected through a deletion-neighbourhood index over all distinct names: two names that share a string left by deleting at
-most one character are neighbours, and a rare name takes the spelling of its most frequent neighbour. Addresses meet inside
-(street, number) blocks; locality, kind, direction and, if asked, unit then veto what they contradict.
-
-Scale: the index is over distinct names, not rows; a block holds the addresses of one number in streets of one name, so its
-pairs are about those of the result. Localities are corrected by the same index.
-
-Defined edge cases: rows without street or number are in no pair; a missing locality, kind or direction contradicts nothing;
-null columns are skipped; texts of any length are read whole; repeated rows are paired; empty tables give empty results.
+1. Each address is cut into segments; its words are assigned to number, unit, street, kind of street, direction, locality
+   and postcode. Of all readings of a segment the one with the highest score is taken (readings()).
+2. Addresses written alike are one class; classes are compared, rows are not.
+3. Localities: a rare spelling one deletion away from a far more frequent one in no other postcode area is the latter; an
+   address without locality has that of its postcode's area, else the only one that has its street and number. Where
+   several have it, the address stays without and meets nothing with a locality: a missing locality is no wildcard.
+4. A deletion-neighbourhood index over street tokens inside (locality, number) blocks: two streets of a block whose tokens,
+   or whose names as a whole, share a string left by deleting at most one character are candidates. The tokens of both are
+   then assigned to each other at least cost (assignment()); numbers, and if asked units, are hard vetoes, kinds and
+   directions veto what they contradict. Inside (postcode, number) blocks equal streets meet whatever the locality says.
+
+Scale: the index holds distinct (locality, number, street) cells; no frequency of the corpus decides whether two streets
+are one. A block holds the streets of one number in one town. Pairs of rows are made from pairs of classes at the end only.
+
+Defined edge cases: rows without street or number are in no pair; a missing kind or direction contradicts nothing; all
+scripts are kept; null columns are skipped; texts of any length are read whole; repeated rows are paired; empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -50,7 +56,7 @@ def plain(text: str) -> str:
     """Upper case words without accents; # is kept."""
     t = re.sub(r"N\s?[º°]\.?", " NO ", re.sub(r"\bP\s?[º°]", " PASEO ", re.sub(r"\bC/", " CALLE ", text.upper())))
     t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-    return " ".join(re.sub(r"[^A-Z0-9#]+", " ", t.replace("'", "")).split())
+    return " ".join(re.sub(r"(?:[^\w#]|_)+", " ", t.replace("'", "")).split())
 
 
 def locality(text: str | None) -> str:
@@ -82,6 +88,34 @@ def _segments(parts: list[str | None]) -> list[str]:
     return out
 
 
+def readings(ws: list[str]) -> Iterator[tuple[float, list[str], str, str]]:
+    """(score, street words, kind, direction): every way to read words as a street, its kind and its direction.
+
+    Kind and direction stand at either end, the direction outside or inside; a street keeps one word at least. Explained
+    words score, longer spellings of a kind a little more, and a kind behind its street a little more than one before it.
+    """
+    yield 0.0, ws, "", ""
+    n = len(ws)
+    front = [((), "", "", 0.0)] if n else []
+    if n > 1:
+        k, w = KIND_OF.get(ws[0], ""), WAY_OF.get(ws[0], "")
+        front += [((0,), k, "", 2 + 0.1 * len(ws[0]))] if k else []
+        front += [((0,), "", w, 1.0)] if w else []
+        if w and n > 2 and ws[1] in KIND_OF:
+            front.append(((0, 1), KIND_OF[ws[1]], w, 3 + 0.1 * len(ws[1])))
+        back = [((), "", "", 0.0)]
+        k, w = KIND_OF.get(ws[-1], ""), WAY_OF.get(ws[-1], "")
+        back += [((n - 1,), k, "", 2.05 + 0.1 * len(ws[-1]))] if k else []
+        back += [((n - 1,), "", w, 0.9)] if w else []
+        if w and n > 2 and ws[-2] in KIND_OF:
+            back.append(((n - 2, n - 1), KIND_OF[ws[-2]], w, 3.05 + 0.1 * len(ws[-2])))
+        for f, fk, fw, fs in front:
+            for b, bk, bw, bs in back:
+                taken = len(f) + len(b)
+                if 0 < taken < n and not (fk and bk) and not (fw and bw):
+                    yield fs + bs, ws[len(f) : n - len(b)], fk or bk, fw or bw
+
+
 def parse(parts: list[str | None], city: str | None, post: str | None) -> tuple[str, int, str, str, str, str, str, str] | None:
     """(street, number, kind, way, unit, locality, postcode, whole street) of an address, None without street or number."""
     unit = ""
@@ -115,7 +149,7 @@ def parse(parts: list[str | None], city: str | None, post: str | None) -> tuple[
         codes = [w for w in ws if w.isdigit() and len(w) == 5]
         ws = [w for w in ws if not (w.isdigit() and len(w) == 5)]
         post = post or (codes[0] if codes else None)
-        figures = [i for i, w in enumerate(ws) if re.fullmatch(r"\d{1,4}[A-Z]?", w)]
+        figures = [i for i, w in enumerate(ws) if re.fullmatch(r"\d{1,4}[A-Z]?|\d{6,9}", w)]
         if figures and number is None:
             bare = [i for i in figures if ws[i].isdigit()] or figures
             # two numbers in front: the one next to the street is the house, the other a unit
@@ -130,21 +164,7 @@ def parse(parts: list[str | None], city: str | None, post: str | None) -> tuple[
         ws = [w for i, w in enumerate(ws) if i not in figures]
         if not ws:
             continue
-        kind = way = ""
-        # the assignment that explains most words: kind at either end, direction next to it
-        if len(ws) > 1:
-            if len(ws) > 2 and ws[-1] in WAY_OF and ws[-2] in KIND_OF:
-                way = WAY_OF[ws.pop()]
-            if ws[-1] in KIND_OF and not (ws[0] in KIND_OF and len(ws[0]) > len(ws[-1])):
-                kind = KIND_OF[ws.pop()]
-            elif ws[0] in KIND_OF:
-                kind = KIND_OF[ws.pop(0)]
-            if len(ws) > 1 and ws[0] in WAY_OF and not way:
-                way = WAY_OF[ws.pop(0)]
-            elif len(ws) > 1 and ws[-1] in WAY_OF and not way:
-                way = WAY_OF[ws.pop()]
-            if len(ws) > 1 and not kind and ws[0] in KIND_OF:
-                kind = KIND_OF[ws.pop(0)]
+        ws, kind, way = max(readings(ws), key=lambda r: r[0])[1:]
         streets.append((3 * explicit + 2 * bool(kind) - 3 * bool(codes), ws, kind, way))
     if number is None or not streets:
         return None
@@ -153,16 +173,17 @@ def parse(parts: list[str | None], city: str | None, post: str | None) -> tuple[
     if not hint:
         hint = next((locality(" ".join(s[1])) for i, s in enumerate(streets) if i != best and not s[2] and len("".join(s[1])) > 3), "")
     whole = "".join(ws)
-    street = whole
+    street = " ".join(ws)
     if not kind and (m := _GERMAN.match(whole)):
         street, kind = m[1], GLUED[m[2]]
     # short names are streets, but not a kind, direction or unit that stands alone
-    if not any(c.isalpha() for c in street) or len(street) < 4 and not kind and whole in _EMPTY_WORDS:
+    if not any(c.isalpha() for c in street) or not kind and whole in _EMPTY_WORDS:
         return None
     return street, number, kind, way, unit, hint, (post or "").strip(), whole
 
 
 _NAMES = ["street", "number", "kind", "way", "unit", "city", "post", "whole"]
+_TYPES = {"number": "bigint"}
 
 
 def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,65 +199,179 @@ def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if known[key] is not None:
                 seqs.append(seq)
                 out.append(known[key])
-        columns = [pa.array([o[i] for o in out], pa.int32() if n == "number" else pa.string()) for i, n in enumerate(_NAMES)]
+        columns = [pa.array([o[i] for o in out], pa.int64() if n == "number" else pa.string()) for i, n in enumerate(_NAMES)]
         yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), *columns], names=["seq", *_NAMES])
 
 
 def _deletions(c: Column) -> Column:
-    return F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))))
-
-
-def corrections(names: DataFrame, ratio: float = 2.0) -> DataFrame:
-    """(name, right) for each name with a neighbour at least `ratio` times as frequent; names: (name, n), distinct."""
-    index = names.where(F.length("name") >= 6).select("name", "n", F.explode(F.array_distinct(_deletions(F.col("name")))).alias("v"))
-    index = index.select("name", "n", F.xxhash64("v").alias("v"))
-    better = index.select("v", F.col("name").alias("right"), F.col("n").alias("m"))
-    near = index.join(better, "v").where((F.col("m") >= F.col("n") * ratio) & (F.col("name") != F.col("right"))).where(F.levenshtein("name", "right", 2) >= 0)
-    return near.groupBy("name").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
-
-
-def _corrected(rows: DataFrame, column: str, fixes: DataFrame) -> DataFrame:
-    fixes = fixes.select(F.col("name").alias(column), F.col("right").alias("__right"))
-    return rows.join(fixes, column, "left").withColumn(column, F.coalesce("__right", column)).drop("__right")
-
-
-def resolve(rows: DataFrame) -> DataFrame:
-    """Addresses with corrected street and city from (seq bigint, parts array<string>, city, post)."""
-    scratch = Scratch(rows.sparkSession, "places")
-    kinds = {"number": "int"}
-    parsed = scratch.put(rows.mapInArrow(_parse_rows, "seq bigint, " + ", ".join(f"{n} {kinds.get(n, 'string')}" for n in _NAMES)))
-    counts = parsed.groupBy("street", "whole", "city").agg(F.count(F.lit(1)).alias("n"))
-    counts = scratch.put(counts)
-    # a short ending is part of the name after all if the name is written more often without a kind cut from it
-    names = counts.groupBy(F.col("street").alias("name")).agg(F.sum("n").alias("n"))
-    cut = counts.where("street != whole").groupBy("street", "whole").agg(F.sum("n").alias("c"))
-    restored = cut.join(names.select(F.col("name").alias("whole"), F.col("n").alias("w")), "whole").join(names.select(F.col("name").alias("street"), F.col("n").alias("s")), "street")
-    restored = restored.where("w > s").select("street", "whole", F.lit(True).alias("__back"))
-    parsed = parsed.join(restored, ["street", "whole"], "left")
-    parsed = parsed.withColumns({"street": F.when(F.col("__back"), F.col("whole")).otherwise(F.col("street")), "kind": F.when(F.col("__back"), "").otherwise(F.col("kind"))}).drop("__back")
-    fixes = scratch.put(corrections(names))
-    cities = scratch.put(corrections(counts.where("city != ''").groupBy(F.col("city").alias("name")).agg(F.sum("n").alias("n"))))
-    return _corrected(_corrected(parsed, "street", fixes), "city", cities)
-
-
-def same_place(addresses: DataFrame, units: bool = False) -> DataFrame:
-    """(a_seq, b_seq): all pairs at one building (units: at one unit), smaller first.
-
-    Streets are one if they are spelled alike after correction, or if they are neighbours; the number is the same, and the
-    place is vetoed alike for both.
+    """A string and everything that is left of it when one character is deleted; of short ones (under FUZZY) only themselves."""
+    less = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    return F.when(F.length(c) >= FUZZY, F.array_distinct(F.concat(F.array(c), less))).otherwise(F.array(c))
+
+
+#: Shorter names and tokens must be equal; a locality gives way to one RATIO times as frequent.
+FUZZY, RATIO, PURE = 5, 10.0, 0.95
+
+
+def _one_off(a: str, b: str) -> Column:
+    """Whether two columns are equal, or long enough and a single deletion, insertion, change or exchange apart."""
+    x, y = F.col(a), F.col(b)
+    return (x == y) | (F.least(F.length(x), F.length(y)) >= FUZZY) & (F.levenshtein(x, y, 2) >= 0) & F.arrays_overlap(_deletions(x), _deletions(y))
+
+
+def _token_cost(a: str, b: str) -> int:
+    """0 for equal tokens, 1 for one error or an initial, 3 for others."""
+    if a == b:
+        return 0
+    if len(a) == 1 and b.startswith(a) or len(b) == 1 and a.startswith(b):
+        return 1
+    if min(len(a), len(b)) < FUZZY or abs(len(a) - len(b)) > 1:
+        return 3
+    i = 0
+    while i < min(len(a), len(b)) and a[i] == b[i]:
+        i += 1
+    x, y = a[i:], b[i:]
+    return 1 if x[1:] == y[1:] or x[1:] == y or x == y[1:] or len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:] else 3
+
+
+def assignment(a: list[str], b: list[str]) -> int:
+    """The least total cost of assigning the tokens of two street names to each other.
+
+    A token without partner costs 1 if it may be a kind or direction that one side doesn't write, else 3. Equal tokens are
+    paired beforehand, which never costs more; what is left is solved over subsets.
     """
-    scratch = Scratch(addresses.sparkSession, "blocks")
-    rows = scratch.put(addresses.drop("whole"))
-    other = rows.select(*[F.col(c).alias(f"o_{c}") for c in rows.columns])
-    agree = lambda c: (F.col(c) == "") | (F.col(f"o_{c}") == "") | (F.col(c) == F.col(f"o_{c}"))
-    fits = agree("kind") & agree("way") & (agree("unit") if units else F.lit(True))
-    place = (F.col("city") == F.col("o_city")) | (F.col("city") == "") | (F.col("o_city") == "") | ((F.col("post") != "") & (F.col("post") == F.col("o_post"))) | (F.levenshtein("city", "o_city", 2) >= 0)
-    alike = rows.join(other, (F.col("street") == F.col("o_street")) & (F.col("number") == F.col("o_number"))).where(F.col("seq") < F.col("o_seq")).where(fits & place)
-    known = rows.where(F.length("street") >= 6).select("street", "number").distinct()
-    index = known.select("street", "number", F.explode(F.transform(F.array_distinct(_deletions(F.col("street"))), lambda v: F.xxhash64(v))).alias("v"))
-    twin = index.select(F.col("street").alias("o_street"), F.col("number").alias("o_number"), F.col("v").alias("o_v"))
-    near = index.join(twin, (F.col("number") == F.col("o_number")) & (F.col("v") == F.col("o_v")))
-    near = near.where(F.col("street") < F.col("o_street")).where(F.levenshtein("street", "o_street", 2) >= 0).select("street", F.col("o_street").alias("n_street"), "number").distinct()
-    spelled = rows.join(near, ["street", "number"]).join(other, (F.col("n_street") == F.col("o_street")) & (F.col("number") == F.col("o_number"))).where(fits & place)
-    pair = lambda df: df.select(F.least("seq", "o_seq").alias("a_seq"), F.greatest("seq", "o_seq").alias("b_seq"))
-    return pair(alike).unionByName(pair(spelled))
+    left = list(a)
+    right = []
+    for t in b:
+        if t in left:
+            left.remove(t)
+        else:
+            right.append(t)
+    alone = lambda t: 1 if t in KIND_OF or t in WAY_OF else 3
+    if len(left) > len(right):
+        left, right = right, left
+    if len(right) > 12:  # differ in more tokens than any accepted pair
+        return 3 * len(right)
+    best = {0: 0}
+    for t in left:
+        step: dict[int, int] = {}
+        for mask, cost in best.items():
+            step[mask] = min(step.get(mask, 1 << 30), cost + alone(t))
+            for j, u in enumerate(right):
+                if not mask >> j & 1:
+                    to = mask | 1 << j
+                    step[to] = min(step.get(to, 1 << 30), cost + _token_cost(t, u))
+        best = step
+    return min(cost + sum(alone(u) for j, u in enumerate(right) if not mask >> j & 1) for mask, cost in best.items())
+
+
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of streets whose tokens can be assigned at a cost of one error at most."""
+    for b in batches:
+        keep = [x.replace(" ", "") == y.replace(" ", "") or assignment(x.split(), y.split()) <= 1 for x, y in zip(b.column("street").to_pylist(), b.column("o_street").to_pylist())]
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
+def _joined(c: str) -> Column:
+    return F.replace(F.col(c), F.lit(" "), F.lit(""))
+
+
+def locality_fixes(classes: DataFrame) -> DataFrame:
+    """(city, right): spellings of localities that are one error away from one RATIO times as frequent, unless their postcodes lie apart."""
+    names = classes.where("city != ''").groupBy("city").agg(F.sum("n").alias("n"), F.min(F.when(F.col("post") != "", F.left("post", F.lit(2)))).alias("lo"), F.max(F.when(F.col("post") != "", F.left("post", F.lit(2)))).alias("hi"))
+    index = names.where(F.length("city") >= FUZZY).withColumn("v", F.explode(F.transform(_deletions(F.col("city")), lambda v: F.xxhash64(v))))
+    better = index.select("v", F.col("city").alias("right"), F.col("n").alias("m"), F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"))
+    near = index.join(better, "v").where((F.col("m") >= F.col("n") * RATIO) & (F.col("city") != F.col("right")) & _one_off("city", "right"))
+    apart = (F.col("hi") < F.col("r_lo")) | (F.col("lo") > F.col("r_hi"))
+    return near.where(~F.coalesce(apart, F.lit(False))).groupBy("city").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
+
+
+def postcode_areas(classes: DataFrame, longest: int = 10) -> DataFrame:
+    """(area, home): beginnings of postcodes of whose addresses PURE or more are in one locality; the longest known one counts."""
+    both = classes.where("city != '' and post != ''").select("city", "n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("post"), F.lit(longest))), lambda i: F.left("post", i))).alias("area"))
+    each = both.groupBy("area", "city").agg(F.sum("n").alias("n"))
+    top = each.groupBy("area").agg(F.sum("n").alias("every"), F.max("n").alias("most"), F.max_by("city", F.struct("n", "city")).alias("home"))
+    return top.where(F.col("most") >= PURE * F.col("every")).select("area", "home")
+
+
+class Places:
+    """Addresses of (seq bigint, parts array<string>, city, post): classes, and what each row's class is."""
+
+    def __init__(self, rows: DataFrame):
+        self.scratch = scratch = Scratch(rows.sparkSession, "places")
+        parsed = scratch.put(rows.mapInArrow(_parse_rows, "seq bigint, " + ", ".join(f"{n} {_TYPES.get(n, 'string')}" for n in _NAMES)))
+        parsed = self._kinds_restored(parsed)
+        same = ["street", "number", "kind", "way", "unit", "city", "post"]
+        digest = {"d1": F.xxhash64(*same), "d2": F.xxhash64(F.lit(1), *same[::-1])}  # 128 bits are the identity of a class
+        parsed = scratch.put(parsed.drop("whole").withColumns(digest))
+        classes = parsed.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in same])
+        classes = scratch.put(classes.withColumn("id", F.monotonically_increasing_id()))
+        self.members = scratch.put(parsed.select("seq", "d1", "d2").join(classes.select("id", "d1", "d2"), ["d1", "d2"]).select("seq", "id"))
+        self.classes = scratch.put(self._located(classes.drop("d1", "d2")))
+
+    def _kinds_restored(self, parsed: DataFrame) -> DataFrame:
+        """A short ending is part of the name after all if the name is written more often without a kind cut from it."""
+        counts = parsed.where("whole != ''").groupBy("street", "whole").agg(F.count(F.lit(1)).alias("n"))
+        counts = self.scratch.put(counts)
+        names = counts.groupBy(F.col("street").alias("name")).agg(F.sum("n").alias("n"))
+        cut = counts.where(_joined("street") != F.col("whole"))
+        back = cut.join(names.select(F.col("name").alias("whole"), F.col("n").alias("w")), "whole").join(names.select(F.col("name").alias("street"), F.col("n").alias("s")), "street")
+        back = self.scratch.put(back.where("w > s").select("street", "whole", F.lit(True).alias("__back")))
+        parsed = parsed.join(back, ["street", "whole"], "left")
+        return parsed.withColumns({"street": F.when(F.col("__back"), F.col("whole")).otherwise(F.col("street")), "kind": F.when(F.col("__back"), "").otherwise(F.col("kind"))}).drop("__back")
+
+    def _located(self, classes: DataFrame) -> DataFrame:
+        """Classes with the corrected or inferred city."""
+        put = self.scratch.put
+        fixes = put(locality_fixes(classes))
+        classes = classes.join(fixes, "city", "left").withColumn("city", F.coalesce("right", "city")).drop("right")
+        areas = put(postcode_areas(classes))
+        lost = classes.where("city = '' and post != ''").select("id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("post"), F.lit(10))), lambda i: F.left("post", i))).alias("area"))
+        homes = put(lost.join(areas, "area").groupBy("id").agg(F.max_by("home", F.length("area")).alias("home")))
+        classes = put(classes.join(homes, "id", "left").withColumn("city", F.when(F.col("city") == "", F.coalesce("home", F.lit(""))).otherwise(F.col("city"))).drop("home"))
+        # street and number of one locality only
+        known = classes.where("city != ''").select("number", _joined("street").alias("name"), "city")
+        exact = known.groupBy("number", "name").agg(F.min("city").alias("lo"), F.max("city").alias("hi"))
+        open_ = put(classes.where("city = ''").select("number", _joined("street").alias("name")).distinct())
+        first = put(open_.join(exact, ["number", "name"], "left"))
+        rest = first.where("lo is null").select("number", "name", F.explode(_deletions(F.col("name"))).alias("v"))
+        near = known.join(rest.select("number").distinct(), "number", "left_semi").distinct().select("number", F.col("name").alias("o_name"), "city", F.explode(_deletions(F.col("name"))).alias("v"))
+        near = rest.join(near, ["number", "v"]).where(_one_off("name", "o_name")).groupBy("number", "name").agg(F.min("city").alias("lo"), F.max("city").alias("hi"))
+        only = put(first.where("lo is not null").unionByName(near).where("lo = hi").select("number", "name", F.col("lo").alias("only")))
+        named = classes.withColumn("name", _joined("street")).join(only, ["number", "name"], "left")
+        return named.withColumn("city", F.when(F.col("city") == "", F.coalesce("only", F.lit(""))).otherwise(F.col("city"))).drop("only", "name")
+
+    def links(self, units: bool = False) -> DataFrame:
+        """(a, b): pairs of different classes at one building (units: at one unit), a < b."""
+        put = self.scratch.put
+        cells = put(self.classes.select("city", "number", "street").distinct())
+        tokens = F.array_distinct(F.concat(F.array(_joined("street")), F.filter(F.split("street", " "), lambda t: F.length(t) >= FUZZY)))
+        variants = F.array_distinct(F.flatten(F.transform(tokens, _deletions)))
+        index = cells.select("city", "number", "street", F.explode(F.transform(variants, lambda v: F.xxhash64("city", "number", v))).alias("h"))
+        other = index.select(F.col("city").alias("o_city"), F.col("number").alias("o_number"), F.col("street").alias("o_street"), F.col("h").alias("o_h"))
+        met = index.join(other, F.col("h") == F.col("o_h")).where("number = o_number and city = o_city and street < o_street").select("city", "number", "street", "o_street").distinct()
+        close = _joined("street").alias("x"), _joined("o_street").alias("y")
+        met = met.select("*", *close).withColumn("quick", _one_off("x", "y")).drop("x", "y")
+        met = put(met)
+        slow = met.where("not quick").select("city", "number", "street", "o_street").mapInArrow(_assigned, "city string, number bigint, street string, o_street string")
+        near = put(met.where("quick").select("city", "number", "street", "o_street").unionByName(slow))
+        rows = self.classes
+        theirs = rows.select(*[F.col(c).alias(f"o_{c}") for c in rows.columns])
+        agree = lambda c: (F.col(c) == "") | (F.col(f"o_{c}") == "") | (F.col(c) == F.col(f"o_{c}"))
+        fits = agree("kind") & agree("way") & (agree("unit") if units else F.lit(True))
+        equal = lambda *names: [F.col(n) == F.col(f"o_{n}") for n in names]
+        alike = rows.join(theirs, equal("city", "number", "street")).where("id < o_id")
+        spelled = rows.join(near, ["city", "number", "street"]).withColumnRenamed("o_street", "n_street").join(theirs, [*equal("city", "number"), F.col("n_street") == F.col("o_street")])
+        coded = rows.where("post != ''").join(theirs.where("o_post != ''"), equal("post", "number", "street")).where("id < o_id and city != o_city")
+        pair = lambda df: df.where(fits).select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
+        return pair(alike).unionByName(pair(spelled)).unionByName(pair(coded))
+
+    def pairs(self, units: bool = False) -> DataFrame:
+        """(a_seq, b_seq): all pairs of rows at one place, smaller first; its size is that of the result asked for."""
+        links = self.scratch.put(self.links(units))
+        side = lambda p: self.members.select(F.col("id").alias(p), F.col("seq").alias(f"{p}_seq"))
+        several = self.members.groupBy("id").count().where("count > 1").select("id")
+        crowd = self.members.join(several, "id", "left_semi")
+        within = crowd.select("id", F.col("seq").alias("a_seq")).join(crowd.select("id", F.col("seq").alias("b_seq")), "id").where("a_seq < b_seq").select("a_seq", "b_seq")
+        across = links.join(side("a"), "a").join(side("b"), "b").select(F.least("a_seq", "b_seq").alias("a_seq"), F.greatest("a_seq", "b_seq").alias("b_seq")).where("a_seq < b_seq")
+        return within.unionByName(across)

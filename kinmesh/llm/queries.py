@@ -158,7 +158,15 @@ def addresses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return places.same_place(places.resolve(addresses(spark, d)))
+    return places.Places(addresses(spark, d)).pairs()
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with the smallest row of its class of addresses written alike, and that class's number of links to others."""
+    found = places.Places(addresses(spark, d))
+    first = found.members.groupBy("id").agg(F.min("seq").alias("rep"))
+    linked = found.links().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    return found.members.join(first.join(linked, "id", "left"), "id").select("seq", "rep", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 # ---- 6: people across sources
@@ -166,9 +174,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(a_key, b_key, confidence) of records of one person in different sources."""
-    people = person.prepared(table(spark, d, "customers_norm").withColumn("id", F.coalesce("ingest_seq", F.xxhash64("customer_key"))), "id", "customer_key")
-    found = matching.matches(people)
-    name = lambda p: people.select(F.col("id").alias(p), F.col("customer_key").alias(f"{p}_key"))
+    customers = table(spark, d, "customers_norm").withColumn("id", F.coalesce("ingest_seq", F.xxhash64("customer_key")))
+    found = matching.matches(person.prepared(customers, "id"))
+    name = lambda p: customers.select(F.col("id").alias(p), F.col("customer_key").alias(f"{p}_key"))
     named = found.join(name("a"), "a").join(name("b"), "b")
     return named.select(F.least("a_key", "b_key").alias("a_key"), F.greatest("a_key", "b_key").alias("b_key"), F.round("confidence", 6).alias("confidence"))
 
@@ -208,7 +216,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p4_found": p4_found, "p4_sizes": p4_sizes, "p5_found": p5_found, "p5_record": p5_record,
-    "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p6_pairs": p6_pairs, "p9_packed": p9_packed, "p10_found": p10_found, "p10_share": p10_share,
+    "p2_found": p2_found, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_pairs": p6_pairs, "p9_packed": p9_packed, "p10_found": p10_found, "p10_share": p10_share,
     "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p8_ids": p8_ids, "p8_text": p8_text,
 }
 ORACLE = oracles.ORACLE

@@ -16,10 +16,11 @@ back to shorter ones; a text never supports itself (its own end is left out of t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,34 +35,93 @@ OPEN_END = 5.0
 #: A length is a limit if at least LIMIT_ROWS texts have it and more than LIMIT_RATIO times the mean of its neighbours.
 LIMIT_ROWS, LIMIT_RATIO, LIMIT_SHARE, NEIGHBOURS = 6, 3.0, 0.001, 15
 
-_CLOSE = "\"'»”’)\\]}“"
-_STOP = re.compile(rf"[{_CLOSE}.!?…;。]*(?=\n|$)|[{_CLOSE}]*[.!?…;。][{_CLOSE}.!?…;。]*(?=\s)")
-_TAIL = re.compile(rf"[\s{_CLOSE}.!?…;。]+$")
+_CLOSE = "\"'»”’)]}“"
+_STOPS = ".!?…;。"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-_HEX = re.compile(r"\b(?=[a-f]*\d)[0-9a-f]{6,8}\b")
-
-
-def _plain(text: str) -> str:
-    """Lower case with every digit, and every character of a hexadecimal name, as 0."""
-    return re.sub(r"\d", "0", _HEX.sub(lambda m: "0" * len(m[0]), text.lower()))
+#: Bits of the filter of looked-up contexts: 8 MB however many texts there are. A full filter lets every context pass.
+FILTER_BITS = 26
+_REACH = 64
+
+
+@lru_cache(1)
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]:
+    """By code (what lies beyond the basic plane is none of these): word, decimal, white, closing, stopping; what is stripped from ends."""
+    chars = [chr(i) for i in range(0x10000)]
+    table = lambda f: np.array([f(c) for c in chars], bool)
+    white = table(str.isspace)
+    stripped = "".join(c for c, w in zip(chars, white) if w) + _CLOSE + _STOPS
+    return table(lambda c: c.isalnum() or c == "_"), table(str.isdecimal), white, table(lambda c: c in _CLOSE), table(lambda c: c in _STOPS), stripped
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, clipped, ends): lower case texts on end; clipped codes index the tables of _kinds(), ends are the places behind each text."""
+    texts = [t.lower() for t in texts]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32).copy()
+    ends = np.cumsum([len(t) for t in texts])
+    return codes, np.where(codes < 0x10000, codes, 0xE000), ends
+
+
+def _zeroed(codes: np.ndarray, small: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Codes with every digit, and every character of a hexadecimal name of six to eight characters, as 0."""
+    word, decimal, *_ = _kinds()
+    w, border = word[small], np.zeros(len(codes) + 1, bool)
+    border[0] = True
+    border[ends] = True
+    before, after = np.concatenate([[False], w[:-1]]), np.concatenate([w[1:], [False]])
+    starts = np.flatnonzero(w & (~before | border[:-1]))
+    stops = np.flatnonzero(w & (~after | border[1:])) + 1
+    size = stops - starts
+    some = (size >= 6) & (size <= 8)
+    starts, stops, size = starts[some], stops[some], size[some]
+    digit = (codes >= 48) & (codes <= 57)
+    held = lambda x: np.concatenate([[0], np.cumsum(x)])
+    hexes, digits = held(digit | (codes >= 97) & (codes <= 102)), held(digit)
+    named = (hexes[stops] - hexes[starts] == size) & (digits[stops] > digits[starts])
+    codes = np.where(decimal[small], 48, codes)
+    for k in range(8):
+        codes[starts[named & (size > k)] + k] = 48
+    return codes
+
+
+def _stopped(small: np.ndarray, ends: np.ndarray, limited: np.ndarray) -> np.ndarray:
+    """Whether a text or sentence may stop behind each place: before a line end, or closing marks and a stop before white space.
+
+    The very ends of limited texts are none.
+    """
+    _, _, white, closing, stopping, _ = _kinds()
+    out, size = np.zeros(len(small), bool), len(small)
+    starts = np.concatenate([[0], ends[:-1]])
+    last, first = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+    last[ends] = first[starts] = True
+    free = np.zeros(size + 1, bool)  # ends of texts that are no evidence
+    free[ends[limited]] = True
+    line = small == 10
+    out[np.flatnonzero(line & ~first[:-1]) - 1] = True
+    out[ends[~limited & (ends > starts)] - 1] = True
+    stop = stopping[small]
+    run = stop | closing[small]
+    before, after = np.concatenate([[False], run[:-1]]), np.concatenate([run[1:], [False]])
+    s = np.flatnonzero(run & (~before | first[:-1]))
+    e = np.flatnonzero(run & (~after | last[1:])) + 1
+    stops = np.concatenate([[0], np.cumsum(stop)])
+    at_end = last[e]
+    following = np.append(small, 10)[e]
+    good = np.where(at_end, ~free[e], (following == 10) | white[following] & (stops[e] > stops[s]))
+    out[s[good & ~first[s]] - 1] = True
+    return out
 
 
 def _hashes(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(k, hash of the k characters that end at each position); the first k - 1 positions are meaningless."""
-    total, power = np.zeros(len(codes), np.uint64), np.uint64(1)
+    codes = codes.astype(np.uint64) + np.uint64(1)
+    total, power = np.zeros(codes.shape, np.uint64), np.uint64(1)
     for k in range(1, max(ORDERS) + 1):
-        if k <= len(codes):
-            total[k - 1 :] += codes[: len(codes) - k + 1] * power
+        if k <= codes.shape[-1]:
+            total[..., k - 1 :] += codes[..., : codes.shape[-1] - k + 1] * power
         power *= _MULTIPLIER
         if k in ORDERS:
             mixed = total ^ (total >> np.uint64(29))
-            yield k, ((mixed * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(k)).view(np.int64)
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64) + np.uint64(1)
+            yield k, (mixed * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(k)
 
 
 def _chunks(texts: list[tuple[str, bool]]) -> Iterator[list[tuple[str, bool]]]:
@@ -77,44 +137,48 @@ def _chunks(texts: list[tuple[str, bool]]) -> Iterator[list[tuple[str, bool]]]:
         yield out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k, h, n, b): contexts of a chunk with how often they occur and how often a stop follows; k = 0 has all positions."""
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            for pairs in _chunks([(_plain(t), limited) for t, limited in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]):
-                texts = [t for t, _ in pairs]
-                lengths = np.array([len(t) for t in texts])
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                inside = (np.arange(lengths.sum()) - np.repeat(starts, lengths)).astype(np.int32)
-                stop = np.zeros(lengths.sum(), bool)
-                for at, (t, limited) in zip(starts, pairs):
-                    stop[[at + m.start() - 1 for m in _STOP.finditer(t) if m.start() and not (limited and m.end() == len(t))]] = True
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([len(stop)], pa.int64()), pa.array([int(stop.sum())], pa.int64())], names=["k", "h", "n", "b"])
-                for k, h in _hashes(_codes("".join(texts))):
-                    ok = inside >= k - 1
-                    h, s = h[ok], stop[ok]
-                    order = np.argsort(h, kind="stable")
-                    h, s = h[order], s[order]
-                    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                    n = np.diff(np.append(first, len(h)))
-                    b = np.add.reduceat(s.astype(np.int64), first) if len(h) else n
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), k, np.int32)), pa.array(h[first]), pa.array(n.astype(np.int64)), pa.array(b.astype(np.int64))], names=["k", "h", "n", "b"])
+def _counter(wanted: bytes):
+    """Counts the contexts that pass the filter `wanted`, a bit for each value of the first FILTER_BITS of a hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(k, h, n, b): contexts of a chunk with how often they occur and how often a stop follows; k = 0 has all positions."""
+        bits = np.frombuffer(wanted, np.uint8)
+        row = lambda k, h, n, b: pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(b, pa.int64())], names=["k", "h", "n", "b"])
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for pairs in _chunks(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))):
+                    codes, small, ends = _codes([t for t, _ in pairs])
+                    stop = _stopped(small, ends, np.array([x for _, x in pairs], bool))
+                    sizes = np.diff(np.concatenate([[0], ends]))
+                    inside = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+                    yield row([0], [0], [len(stop)], [int(stop.sum())])
+                    for k, h in _hashes(_zeroed(codes, small, ends)):
+                        at = h >> np.uint64(64 - FILTER_BITS)
+                        hit = (inside >= k - 1) & ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                        which, found = pd.factorize(h[hit].view(np.int64))
+                        yield row(np.full(len(found), k, np.int32), found, np.bincount(which, minlength=len(found)), np.bincount(which, stop[hit], minlength=len(found)).astype(np.int64))
+
+    return count
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, k, h): the contexts at the end of each text, closing marks and white space left out."""
+    """(key, own, k, h): the contexts at the end of each text, closing marks and white space left out."""
+    stripped, width = _kinds()[-1], max(ORDERS)
     with np.errstate(over="ignore"):
         for batch in batches:
-            keys, ks, hs = [], [], []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                t = _TAIL.sub("", _plain(t))[-max(ORDERS) :] if t else ""
-                if t:
-                    for k, h in _hashes(_codes(t)):
-                        if len(t) >= k:
-                            keys.append(key)
-                            ks.append(k)
-                            hs.append(h[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ks, pa.int32()), pa.array(hs, pa.int64())], names=["key", "k", "h"])
+            # a name that is cut by the reach is longer than any hexadecimal one
+            tails = [t.rstrip(stripped)[-_REACH:] for t in batch.column(1).to_pylist()]
+            codes, small, ends = _codes(tails)
+            if not len(codes):
+                continue
+            zeroed = np.concatenate([np.zeros(width, np.uint32), _zeroed(codes, small, ends)])
+            last = zeroed[ends[:, None] + np.arange(width)]
+            sizes = np.diff(np.concatenate([[0], ends]))
+            keys, own = batch.column(0), batch.column(2)
+            for k, h in _hashes(last):
+                some = np.flatnonzero(sizes >= k)
+                picked = pa.array(some)
+                yield pa.RecordBatch.from_arrays([keys.take(picked), own.take(picked), pa.array(np.full(len(some), k, np.int32)), pa.array(h[some, -1].view(np.int64))], names=["key", "own", "k", "h"])
 
 
 def limits(sized: DataFrame, size: str) -> DataFrame:
@@ -122,7 +186,7 @@ def limits(sized: DataFrame, size: str) -> DataFrame:
 
     A limit holds at least LIMIT_SHARE of its source's texts, so there are at most 1 / LIMIT_SHARE rows per source.
     """
-    seen = sized.groupBy("source", F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    seen = sized.groupBy("source", F.col(size).alias("size")).agg(F.sum("n").alias("n"))
     total = seen.groupBy("source").agg(F.sum("n").alias("total"))
     shifts = F.array(*[F.lit(i) for i in range(-NEIGHBOURS, NEIGHBOURS + 1) if i])
     around = seen.select("source", F.explode(F.transform(shifts, lambda i: F.col("size") + i)).alias("size"), "n").groupBy("source", "size").agg((F.sum("n") / (2 * NEIGHBOURS)).alias("mean"))
@@ -140,25 +204,35 @@ def evidence(documents: DataFrame) -> DataFrame:
     """(key, source, lang, p, rate, surplus, syntax) of each text that isn't blank, from (key, text, source, lang)."""
     scratch = Scratch(documents.sparkSession, "ends")
     docs = documents.where("trim(text) != ''").withColumns({"chars": F.length("text"), "bytes": F.octet_length("text")})
-    lengths = scratch.put(docs.groupBy("source", "chars", "bytes").agg(F.count(F.lit(1)).alias("__n")).select("source", "chars", "bytes", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k")).drop("__k"))
+    lengths = scratch.put(docs.groupBy("source", "chars", "bytes").agg(F.count(F.lit(1)).alias("n")))
     for size in ("chars", "bytes"):
-        docs = docs.join(F.broadcast(scratch.put(limits(lengths, size))), ["source", size], "left")  # bounded, see limits()
+        docs = docs.join(scratch.put(limits(lengths, size)), ["source", size], "left")  # a written table, so joined by its true size
     docs = docs.withColumn("surplus", F.greatest("by_chars", "by_bytes"))
     # ends at a limit are no evidence that texts stop there
-    counted = docs.select("text", F.col("surplus").isNotNull()).mapInArrow(_count, "k int, h bigint, n bigint, b bigint").groupBy("k", "h").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    wanted = scratch.put(docs.select("key", "text").mapInArrow(_ends, "key bigint, k int, h bigint"))
-    every = documents.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("h"))
-    found = counted.join(wanted.select("k", "h").distinct().unionByName(every), ["k", "h"])
-    table = scratch.put(found)
+    wanted = scratch.put(docs.select("key", "text", F.when(F.col("surplus").isNull(), 1).otherwise(0)).mapInArrow(_ends, "key bigint, own int, k int, h bigint"))
+    counted = docs.select("text", F.col("surplus").isNotNull()).mapInArrow(_counter(_filter(wanted)), "k int, h bigint, n bigint, b bigint").groupBy("k", "h").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    table = scratch.put(counted)
     total = table.where("k = 0").agg((F.sum("b") / F.sum("n")).alias("rate"))
     # own end left out; from the shortest context to the longest
+    less = {"n": F.col("n") - 1, "b": F.greatest(F.least(F.col("b") - F.col("own"), F.col("n") - 1), F.lit(0))}
+    voted = wanted.join(table, ["k", "h"]).groupBy("key").agg(*[F.max(F.when(F.col("k") == k, less[c])).alias(f"{c}{k}") for k in ORDERS for c in "nb"])
+    p = F.col("rate")
+    steps = voted.crossJoin(F.broadcast(total))  # one row
+    for k in ORDERS:
+        steps = steps.withColumn("p", p if k == ORDERS[0] else F.col("p"))
+        steps = steps.withColumn("p", F.when(F.col(f"n{k}").isNull(), F.col("p")).otherwise((F.col(f"b{k}") + SMOOTH * F.col("p")) / (F.col(f"n{k}") + SMOOTH)))
     sized = docs.select("key", "source", "lang", "chars", "bytes", "by_chars", "by_bytes", "surplus", (F.col("surplus").isNotNull() & F.col("text").rlike(r"[ \t]$")).alias("open"), F.when(F.trim("text").rlike(r"^[{\[]\s*[\"{\[]"), F.expr("try_parse_json(text) is null")).alias("syntax"))
-    sized = scratch.put(sized)
-    voted = wanted.join(sized.select("key", F.when(F.col("surplus").isNull(), 1).otherwise(0).alias("own")), "key").join(table, ["k", "h"])
-    steps = voted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", (F.col("n") - 1).alias("n"), (F.col("b") - F.col("own")).alias("b")))).alias("steps"))
-    steps = steps.crossJoin(F.broadcast(total))
-    p = F.aggregate("steps", F.col("rate"), lambda acc, s: (F.greatest(F.least(s["b"], s["n"]), F.lit(0)) + SMOOTH * acc) / (s["n"] + SMOOTH))
-    return sized.join(steps.select("key", p.alias("p"), "rate"), "key", "left")
+    return sized.join(steps.select("key", "p", "rate"), "key", "left")
+
+
+def _filter(wanted: DataFrame) -> bytes:
+    """A bit for the first FILTER_BITS bits of each looked-up hash; at most 2 ** (FILTER_BITS - 6) words reach the driver."""
+    at = wanted.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("at"))
+    one = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(one).alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out.tobytes()
 
 
 def cut(documents: DataFrame) -> DataFrame:
