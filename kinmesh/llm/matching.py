@@ -3,8 +3,8 @@
 Each attribute is encoded as a fixed 64-bit vector of its hashed q-grams. Multi-index Hamming hashing finds, without
 comparing all pairs, exactly the pairs that are equal in a vector of WHOLE or lie within RADIUS bits in a view of VIEWS. A
 view is the vector of one attribute behind that of a second one, which must be equal: the first is cut into RADIUS + 1
-pieces, of which a pair within the radius has one in common (a wrong letter changes four bits at most). What a bucket
-brings together is compared by its vectors before it counts as found.
+pieces, of which a pair within the radius has one in common (a wrong letter changes four bits at most). A bucket's key carries the
+vector folded to FOLD bits, which rules out most of what meets by chance; what is left is compared by its whole vectors.
 
 Found pairs get a field-weighted Dice score of the attributes other than the identifier. Score and agreement of identifiers
 are two views of one hidden fact; expectation maximisation over the counts of all found pairs (a table of a few hundred
@@ -34,8 +34,8 @@ from kinmesh.storage import Scratch
 ENCODED = {"name": False, "word": False, "nid": True, "dob": True, "mail": False, "phone": True, "addr": False}
 WHOLE = [("nid",), ("mail",), ("phone",), ("word", "dob")]
 #: (near, equal): the first attribute within RADIUS bits while the second is equal; `word` is the name where it has no long word.
-VIEWS = [("name", "dob"), ("nid", "dob"), ("mail", "dob"), ("addr", "dob"), ("nid", "word"), ("mail", "word"), ("addr", "name")]
-RADIUS = 4
+VIEWS = [("name", "dob"), ("nid", "word"), ("mail", "word"), ("addr", "name")]
+RADIUS, FOLD = 4, 20
 WEIGHTS = {"name": 2.0, "dob": 2.5, "mail": 2.5, "phone": 1.5, "addr": 1.5}
 BINS, SHRINK, ROUNDS = 50, 1.0, 20
 #: Dice scores from which two identifiers count as the same and as nearly the same.
@@ -94,25 +94,36 @@ def _attribute(n: str, side: str = "") -> Column:
     return F.when(c != 0, c).otherwise(F.col(f"{side}name")) if n == "word" else c
 
 
+def _folded(c: Column) -> Column:
+    """The parities of every FOLD-th bit. Folded vectors differ in no more bits than the vectors themselves."""
+    out = c
+    for by in range(FOLD, 64, FOLD):
+        out = out.bitwiseXOR(F.shiftrightunsigned(c, by))
+    return out.bitwiseAND(F.lit((1 << FOLD) - 1))
+
+
 def _keys() -> list[Column]:
-    """Every bucket of a record, null where an attribute is missing."""
+    """Every bucket of a record, null where an attribute is missing: 64 - FOLD bits of the bucket, then the folded near vector."""
     out = []
+    packed = lambda bucket, fold: F.shiftleft(bucket, FOLD).bitwiseOR(fold)
     for s in WHOLE:
         there = F.least(*[F.when(F.col(n) != 0, 1).otherwise(0) for n in s], F.lit(1)) == 1
-        out.append(F.when(there, F.xxhash64(F.lit(len(out)), *[F.col(n) for n in s])))
+        out.append(F.when(there, packed(F.xxhash64(F.lit(len(out)), *[F.col(n) for n in s]), F.lit(0).cast("bigint"))))
     for near, equal in VIEWS:
         there = (F.col(near) != 0) & (_attribute(equal) != 0)
         for piece in _pieces(F.col(near)):
-            out.append(F.when(there, F.xxhash64(F.lit(len(out)), _attribute(equal), piece)))
+            out.append(F.when(there, packed(F.xxhash64(F.lit(len(out)), _attribute(equal), piece), _folded(F.col(near)))))
     return out
 
 
 def candidates(encoded: DataFrame) -> DataFrame:
-    """(a, b): pairs of different sources, a < b, that share a bucket."""
+    """(a, b): pairs of different sources, a < b, that share a bucket and whose folded vectors are within the radius."""
     long = encoded.select("id", F.xxhash64("src").alias("src"), F.explode(F.array_compact(F.array(*_keys()))).alias("key"))
     # both sides are written alike, so that one exchange serves both
     side = lambda p: long.select(F.col("id").alias(p), F.col("src").alias(f"{p}_src"), F.col("key").alias(f"{p}_key"))
-    return side("a").join(side("b"), F.col("a_key") == F.col("b_key")).where("a_src != b_src and a < b").select("a", "b").distinct()
+    met = side("a").join(side("b"), F.shiftrightunsigned("a_key", FOLD) == F.shiftrightunsigned("b_key", FOLD)).where("a_src != b_src and a < b")
+    fold = F.col("a_key").bitwiseXOR(F.col("b_key")).bitwiseAND(F.lit((1 << FOLD) - 1))
+    return met.where(F.bit_count(fold) <= RADIUS).select("a", "b").distinct()
 
 
 def _found() -> Column:
@@ -180,10 +191,9 @@ def calibration(counts: np.ndarray) -> np.ndarray:
     return chance
 
 
-def confidences(people: DataFrame) -> DataFrame:
-    """(a, b, confidence, veto) of all found pairs; people as person.profile() with id, shared values removed, no two alike in a source."""
-    scratch = Scratch(people.sparkSession, "matching")
-    encoded = scratch.put(vectors(people))
+def confidences(encoded: DataFrame) -> DataFrame:
+    """(a, b, confidence, veto) of all found pairs of vectors(), which are read twice."""
+    scratch = Scratch(encoded.sparkSession, "matching")
     pairs = scratch.put(scored(candidates(encoded), encoded))
     counts = np.zeros((BINS, 4))
     for r in pairs.groupBy("bin", "cat").count().collect():  # at most BINS * 4 rows
@@ -202,10 +212,13 @@ def matches(profiles: DataFrame, least: float = 0.5) -> DataFrame:
     content = [F.struct(F.col(f).isNull(), F.col(f)) for f in fields]
     keyed = profiles.withColumns({"d1": F.xxhash64("src", *content), "d2": F.xxhash64(F.lit(1), *content[::-1], "src")})  # 128 bits are the identity of a class
     classes = scratch.put(keyed.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("src").alias("src"), *[F.first(f).alias(f) for f in fields]))
-    found = scratch.put(confidences(classes).where((F.col("confidence") >= least) & ~F.col("veto")).drop("veto"))
     # classes of several records are expanded at the end
     several = scratch.put(classes.where("n > 1").select("d1", "d2", F.col("id").alias("class")))
     members = scratch.put(keyed.select("id", "d1", "d2").join(several, ["d1", "d2"]).select("class", "id"))
+    encoded = scratch.put(vectors(classes))
+    scratch.drop(classes, several)
+    found = scratch.put(confidences(encoded).where((F.col("confidence") >= least) & ~F.col("veto")).drop("veto"))
+    scratch.drop(encoded)
     for p in "ab":
         more = members.select(F.col("class").alias(p), F.col("id").alias("__id"))
         found = found.join(more, p, "left").withColumn(p, F.coalesce("__id", p)).drop("__id")

@@ -185,12 +185,12 @@ def _packer(capacity: int, nodes: int):
 
 def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, nodes: int = NODES) -> DataFrame:
     """(key, part, tokens, container) from (key bigint, tokens): part counts the pieces of an item beyond the capacity."""
-    items = items.select("key", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
+    items = items.select("key", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"), F.monotonically_increasing_id().alias("row"))
     blocks = max(1, -(-items.count() // block))
     full = F.floor(F.col("tokens") / capacity).cast("int")
     pieces = items.withColumn("full", full).withColumn("rest", F.col("tokens") - F.col("full") * capacity)
     alone = pieces.where("full > 0").select("key", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part"), F.lit(capacity).cast("bigint").alias("tokens"))
     alone = alone.withColumn("container", F.concat_ws("-", F.lit("f"), "key", "part"))
-    rest = pieces.where("rest > 0 or full = 0").select("key", F.col("full").alias("part"), F.col("rest").alias("size"), F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"))
+    rest = pieces.where("rest > 0 or full = 0").select("key", F.col("full").alias("part"), F.col("rest").alias("size"), F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"))
     packed = rest.groupBy("block").applyInPandas(_packer(capacity, nodes), "key bigint, part int, tokens bigint, container string")
     return alone.unionByName(packed)

@@ -6,13 +6,16 @@
 3. Localities: a rare spelling one deletion away from a far more frequent one in no other postcode area is the latter; an
    address without locality has that of its postcode's area, else the only one that has its street and number. Where
    several have it, the address stays without and meets nothing with a locality: a missing locality is no wildcard.
-4. A deletion-neighbourhood index over street tokens inside (locality, number) blocks: two streets of a block whose tokens,
-   or whose names as a whole, share a string left by deleting at most one character are candidates. The tokens of both are
-   then assigned to each other at least cost (assignment()); numbers, and if asked units, are hard vetoes, kinds and
-   directions veto what they contradict. Inside (postcode, number) blocks equal streets meet whatever the locality says.
+4. A deletion-neighbourhood index over street tokens inside locality blocks: two streets of a locality whose tokens, or
+   whose names as a whole, share a string left by deleting at most one character are candidates. The tokens of both are then
+   assigned to each other at least cost (assignment()). Two names that both stand at many numbers of the locality are
+   streets of their own, however alike.
+5. Addresses of one locality and number meet if their streets are equal, neighbours, or, being long, neighbours of one
+   street of the locality. Numbers, and if asked units, are hard vetoes, kinds and directions veto what they contradict.
+   Inside (postcode, number) blocks equal streets meet whatever the locality says.
 
-Scale: the index holds distinct (locality, number, street) cells; no frequency of the corpus decides whether two streets
-are one. A block holds the streets of one number in one town. Pairs of rows are made from pairs of classes at the end only.
+Scale: the index holds the distinct street names of each locality, not rows; a block of pairs holds the streets of one name
+at one number of one locality. Pairs of rows are made from pairs of classes at the end only.
 
 Defined edge cases: rows without street or number are in no pair; a missing kind or direction contradicts nothing; all
 scripts are kept; null columns are skipped; texts of any length are read whole; repeated rows are paired; empty tables give
@@ -49,12 +52,13 @@ _UNIT = re.compile(rf"\b(?:{'|'.join(UNITS.split())})\b\s*(?:NO\b\s*)?([0-9]+\s?
 _NUMBER = re.compile(r"\b(?:NO|NUM|NR|N)\b\s*([0-9]{1,4})([A-Z]?)\b")
 _HASH = re.compile(r"#\s*([0-9]{1,4})([A-Z]?)\b")
 _ASIDE = re.compile(r"^(?:CARE OF|C O|CO|ATTN|ATT|REAR|BEHIND|OPP)\b")
+_ORDINAL = re.compile(r"^[0-9]+(?:ST|ND|RD|TH)$")
 _GERMAN = re.compile(r"^(.{5,}?)(STRASSE|PLATZ|ALLEE|WEG|STR|PL|AL|W)$")
 
 
 def plain(text: str) -> str:
     """Upper case words without accents; # is kept."""
-    t = re.sub(r"N\s?[º°]\.?", " NO ", re.sub(r"\bP\s?[º°]", " PASEO ", re.sub(r"\bC/", " CALLE ", text.upper())))
+    t = re.sub(r"N\s?[º°]\.?", " NO ", re.sub(r"\bP\.?\s?[º°]", " PASEO ", re.sub(r"\bC/", " CALLE ", text.upper())))
     t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
     return " ".join(re.sub(r"(?:[^\w#]|_)+", " ", t.replace("'", "")).split())
 
@@ -77,7 +81,7 @@ def _segments(parts: list[str | None]) -> list[str]:
             t = plain(piece)
             if not t or _ASIDE.match(t):
                 continue
-            bare = all(w in _EMPTY_WORDS or any(c.isdigit() for c in w) for w in t.replace("#", " ").split())
+            bare = all(w in _EMPTY_WORDS or any(c.isdigit() for c in w) and not _ORDINAL.match(w) for w in t.replace("#", " ").split())
             if bare and out:
                 out[-1] += " " + t
             elif bare:
@@ -85,7 +89,7 @@ def _segments(parts: list[str | None]) -> list[str]:
             else:
                 out.append(f"{held} {t}".strip())
                 held = ""
-    return out
+    return [*out, held] if held else out
 
 
 def readings(ws: list[str]) -> Iterator[tuple[float, list[str], str, str]]:
@@ -171,7 +175,7 @@ def parse(parts: list[str | None], city: str | None, post: str | None) -> tuple[
     best = max(range(len(streets)), key=lambda i: (streets[i][0], -i))
     _, ws, kind, way = streets[best]
     if not hint:
-        hint = next((locality(" ".join(s[1])) for i, s in enumerate(streets) if i != best and not s[2] and len("".join(s[1])) > 3), "")
+        hint = next((locality(" ".join(s[1])) for i, s in enumerate(streets) if i != best and not s[2] and any(c.isalpha() for c in "".join(s[1]))), "")
     whole = "".join(ws)
     street = " ".join(ws)
     if not kind and (m := _GERMAN.match(whole)):
@@ -209,8 +213,9 @@ def _deletions(c: Column) -> Column:
     return F.when(F.length(c) >= FUZZY, F.array_distinct(F.concat(F.array(c), less))).otherwise(F.array(c))
 
 
-#: Shorter names and tokens must be equal; a locality gives way to one RATIO times as frequent.
-FUZZY, RATIO, PURE = 5, 10.0, 0.95
+#: Names and tokens shorter than FUZZY must be equal, those of LONG may differ twice; a locality gives way to one RATIO times
+#: as frequent. Two names, each at MANY numbers of a locality and none at SHARE times as many as the other, are two streets.
+FUZZY, LONG, RATIO, PURE, MANY, SHARE = 5, 8, 10.0, 0.95, 5, 5
 
 
 def _one_off(a: str, b: str) -> Column:
@@ -277,11 +282,13 @@ def _joined(c: str) -> Column:
 
 
 def locality_fixes(classes: DataFrame) -> DataFrame:
-    """(city, right): spellings of localities that are one error away from one RATIO times as frequent, unless their postcodes lie apart."""
+    """(city, right): spellings of localities that are one error (two, if long) away from one RATIO (twice that) times as frequent, unless their postcodes lie apart."""
     names = classes.where("city != ''").groupBy("city").agg(F.sum("n").alias("n"), F.min(F.when(F.col("post") != "", F.left("post", F.lit(2)))).alias("lo"), F.max(F.when(F.col("post") != "", F.left("post", F.lit(2)))).alias("hi"))
-    index = names.where(F.length("city") >= FUZZY).withColumn("v", F.explode(F.transform(_deletions(F.col("city")), lambda v: F.xxhash64(v))))
+    twice = F.when(F.length("city") >= LONG, F.array_distinct(F.flatten(F.transform(_deletions(F.col("city")), _deletions)))).otherwise(_deletions(F.col("city")))
+    index = names.where(F.length("city") >= FUZZY).withColumn("v", F.explode(F.transform(twice, lambda v: F.xxhash64(v))))
     better = index.select("v", F.col("city").alias("right"), F.col("n").alias("m"), F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"))
-    near = index.join(better, "v").where((F.col("m") >= F.col("n") * RATIO) & (F.col("city") != F.col("right")) & _one_off("city", "right"))
+    near = index.join(better, "v").where((F.col("m") >= F.col("n") * RATIO) & (F.col("city") != F.col("right")))
+    near = near.where(_one_off("city", "right") | (F.least(F.length("city"), F.length("right")) >= LONG) & (F.levenshtein("city", "right", 3) >= 0) & (F.col("m") >= F.col("n") * 2 * RATIO))
     apart = (F.col("hi") < F.col("r_lo")) | (F.col("lo") > F.col("r_hi"))
     return near.where(~F.coalesce(apart, F.lit(False))).groupBy("city").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
 
@@ -344,17 +351,27 @@ class Places:
     def links(self, units: bool = False) -> DataFrame:
         """(a, b): pairs of different classes at one building (units: at one unit), a < b."""
         put = self.scratch.put
-        cells = put(self.classes.select("city", "number", "street").distinct())
+        cells = put(self.classes.groupBy("city", "street", "number").agg(F.count(F.lit(1)).alias("n")).select("city", "street", "number"))
+        names = put(cells.groupBy("city", "street").agg(F.count(F.lit(1)).alias("n")))
         tokens = F.array_distinct(F.concat(F.array(_joined("street")), F.filter(F.split("street", " "), lambda t: F.length(t) >= FUZZY)))
         variants = F.array_distinct(F.flatten(F.transform(tokens, _deletions)))
-        index = cells.select("city", "number", "street", F.explode(F.transform(variants, lambda v: F.xxhash64("city", "number", v))).alias("h"))
-        other = index.select(F.col("city").alias("o_city"), F.col("number").alias("o_number"), F.col("street").alias("o_street"), F.col("h").alias("o_h"))
-        met = index.join(other, F.col("h") == F.col("o_h")).where("number = o_number and city = o_city and street < o_street").select("city", "number", "street", "o_street").distinct()
-        close = _joined("street").alias("x"), _joined("o_street").alias("y")
-        met = met.select("*", *close).withColumn("quick", _one_off("x", "y")).drop("x", "y")
-        met = put(met)
-        slow = met.where("not quick").select("city", "number", "street", "o_street").mapInArrow(_assigned, "city string, number bigint, street string, o_street string")
-        near = put(met.where("quick").select("city", "number", "street", "o_street").unionByName(slow))
+        index = names.select("city", "street", "n", F.explode(F.transform(variants, lambda v: F.xxhash64("city", v))).alias("h"))
+        other = index.select(F.col("city").alias("o_city"), F.col("street").alias("o_street"), F.col("n").alias("o_n"), F.col("h").alias("o_h"))
+        two = (F.least("n", "o_n") >= MANY) & (F.least("n", "o_n") * SHARE >= F.greatest("n", "o_n"))
+        met = index.join(other, F.col("h") == F.col("o_h")).where("city = o_city and street < o_street").where(~two).select("city", "street", "o_street").distinct()
+        met = put(met.select("*", _joined("street").alias("x"), _joined("o_street").alias("y")).withColumn("quick", _one_off("x", "y")))
+        slow = met.where("not quick").select("city", "street", "o_street").mapInArrow(_assigned, "city string, street string, o_street string")
+        beside = put(met.where("quick").select("city", "street", "o_street").unionByName(slow))
+        both = beside.select("city", F.col("street").alias("street"), F.col("o_street").alias("pivot")).unionByName(beside.select("city", F.col("o_street").alias("street"), F.col("street").alias("pivot")))
+        involved = both.select("city", F.col("pivot").alias("street")).distinct()
+        pivots = put(both.unionByName(involved.withColumn("pivot", F.col("street"))))
+        spots = put(cells.join(pivots, ["city", "street"]))
+        twin = spots.select(*[F.col(c).alias(f"o_{c}") for c in spots.columns])
+        shared = spots.join(twin, (F.col("city") == F.col("o_city")) & (F.col("number") == F.col("o_number")) & (F.col("pivot") == F.col("o_pivot"))).where("street < o_street")
+        x, y = _joined("street"), _joined("o_street")
+        direct = (F.col("street") == F.col("pivot")) | (F.col("o_street") == F.col("pivot"))
+        twice = (F.least(F.length(x), F.length(y)) >= LONG) & (F.levenshtein(x, y, 4) >= 0)
+        near = put(shared.where(direct | twice).select("city", "number", "street", "o_street").distinct())
         rows = self.classes
         theirs = rows.select(*[F.col(c).alias(f"o_{c}") for c in rows.columns])
         agree = lambda c: (F.col(c) == "") | (F.col(f"o_{c}") == "") | (F.col(c) == F.col(f"o_{c}"))

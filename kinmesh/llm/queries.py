@@ -61,7 +61,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     values = members(spark, d).select("grp", "customer_key", "rank", "weight", "phone_norm", phone.alias("digits")).where("digits is not null")
     # each member's number is a value of its own, so that the one member can be named
     values = values.select("grp", F.lit("phone_norm").alias("field"), F.col("digits").alias("value"), F.array("digits").alias("tokens"), "weight", "rank", F.col("customer_key").alias("member"))
-    return survivor.consensus(values, "dominance", single=True).select(F.col("grp").alias("cluster_id"), F.col("member").alias("customer_key"))
+    return survivor.consensus(values, "dominance").select(F.col("grp").alias("cluster_id"), F.col("member").alias("customer_key"))
 
 
 def p5_record(spark: SparkSession, d: str) -> DataFrame:
@@ -70,12 +70,10 @@ def p5_record(spark: SparkSession, d: str) -> DataFrame:
     bare = lambda c: F.regexp_replace(F.upper(c), r"[^\p{L}\p{N}]", "")
     code = {"phone_norm": survivor.usable_phone(F.col("phone_norm")), "dob_norm": F.regexp_replace("dob_norm", r"\D", ""), "natid_norm": bare(F.col("natid_norm"))}
     text = {c: words(F.col(c)) for c in ("name_norm", "email_norm", "address_norm", "city_norm")}
-    out = None
-    for single, found in ((True, {c: F.array(v) for c, v in code.items()}), (False, text)):
-        long = F.array(*[F.struct(F.lit(c).alias("field"), F.trim(F.col(c)).alias("value"), t.alias("tokens")) for c, t in found.items()])
-        values = m.select("grp", F.inline(long), "weight", "rank", F.col("customer_key").alias("member")).where("value != '' and tokens[0] is not null and tokens[0] not in ('', 'na', 'unknown')")
-        kept = survivor.consensus(values, "sum", single)
-        out = kept if out is None else out.unionByName(kept)
+    tokens = {c: F.array(v) for c, v in code.items()} | text
+    long = F.array(*[F.struct(F.lit(c).alias("field"), F.trim(F.col(c)).alias("value"), t.alias("tokens")) for c, t in tokens.items()])
+    values = m.select("grp", F.inline(long), "weight", "rank", F.col("customer_key").alias("member")).where("value != '' and tokens[0] is not null and lower(tokens[0]) not in ('', 'na', 'unknown')")
+    out = survivor.consensus(values, "sum")
     by_field = [F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in [*text, *code]]
     return out.groupBy(F.col("grp").alias("cluster_id")).agg(*by_field)
 
@@ -175,7 +173,9 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     """(a_key, b_key, confidence) of records of one person in different sources."""
     customers = table(spark, d, "customers_norm").withColumn("id", F.coalesce("ingest_seq", F.xxhash64("customer_key")))
-    found = matching.matches(person.prepared(customers, "id"))
+    people = person.prepared(customers, "id")
+    found = matching.matches(people)
+    Scratch(spark, "people").drop(people)  # matches() has written what it needs of them
     name = lambda p: customers.select(F.col("id").alias(p), F.col("customer_key").alias(f"{p}_key"))
     named = found.join(name("a"), "a").join(name("b"), "b")
     return named.select(F.least("a_key", "b_key").alias("a_key"), F.greatest("a_key", "b_key").alias("b_key"), F.round("confidence", 6).alias("confidence"))
