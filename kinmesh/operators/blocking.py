@@ -78,6 +78,12 @@ def candidate_pairs(keys: DataFrame, norm: DataFrame, cfg: BlockingConfig) -> Da
     return pairs.orderBy("a_key", "b_key").limit(cfg.max_pairs) if cfg.max_pairs else pairs
 
 
+def preview_pairs(norm: DataFrame, stored: DataFrame | None = None, most: int = 500) -> DataFrame:
+    """Pairs a preview scores: all of a set under `most` records, else the stored candidates, else all of the first `most`."""
+    small = norm.limit(most).count() < most
+    return all_pairs(norm, most) if small or stored is None else stored.select("a_key", "b_key", F.concat_ws(":", "a_key", "b_key").alias("pair_id"))
+
+
 def all_pairs(norm: DataFrame, most: int = 500) -> DataFrame:
     """Every pair of the first `most` records; a preview of small sets only."""
     few = norm.orderBy("ingest_seq").limit(most).select("customer_key")
@@ -85,6 +91,15 @@ def all_pairs(norm: DataFrame, most: int = 500) -> DataFrame:
     return a.join(F.broadcast(b), F.col("a_key") < F.col("b_key")).withColumn("pair_id", F.concat_ws(":", "a_key", "b_key"))
 
 
+def recall(pairs: DataFrame, norm: DataFrame, truth: str) -> DataFrame:
+    """(found, true): how many pairs of equal `truth` the candidates hold, of how many there are."""
+    n = F.col("count")
+    true = norm.where(F.col(truth).isNotNull()).groupBy(truth).count().agg(F.sum((n * (n - 1) / 2).cast("bigint")).alias("true"))
+    side = lambda p: norm.select(F.col("customer_key").alias(f"{p}_key"), F.col(truth).alias(f"{p}_truth"))
+    found = pairs.join(side("a"), "a_key").join(side("b"), "b_key").where("a_truth = b_truth").agg(F.count(F.lit(1)).alias("found"))
+    return found.crossJoin(true)
+
+
 def stats(keys: DataFrame, norm: DataFrame) -> DataFrame:
     """One row: records, distinct keys, keys per record."""
     total = norm.agg(F.count(F.lit(1)).alias("total_records"))

@@ -49,11 +49,36 @@ def sizes(members: DataFrame) -> DataFrame:
 
 
 def golden(members: DataFrame, norm: DataFrame) -> DataFrame:
-    """Per cluster the last non-empty value of each field in ingest order, member count and source ids."""
+    """Per cluster the last non-empty value of each field in ingest order, member count and the first LISTED source ids.
+
+    Members beyond LISTED stay rows (golden_sources()), so no cluster is ever collected into one row.
+    """
     both = members.join(norm, "customer_key")
     latest = [F.max_by(f, F.when(F.col(f) != "", F.col("ingest_seq"))).alias(f) for f in GOLDEN_FIELDS]
-    ids = F.array_sort(F.collect_list(F.when(F.col("source_customer_id") != "", F.struct("ingest_seq", "source_customer_id"))))
-    return both.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("member_count"), *latest, F.array_join(ids["source_customer_id"], ",").alias("source_ids"))
+    one = both.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("member_count"), *latest)
+    return one.join(_listed(golden_sources(members, norm), "source_customer_id", "source_ids"), "cluster_id", "left").withColumn("source_ids", F.coalesce("source_ids", F.lit("")))
+
+
+#: Members that a list in one row names; the rest is in the tables of members.
+LISTED = 1000
+
+
+def golden_sources(members: DataFrame, norm: DataFrame) -> DataFrame:
+    """(cluster_id, k, source_customer_id): the records a golden record is made of, in ingest order."""
+    both = members.join(norm.select("customer_key", "ingest_seq", "source_customer_id"), "customer_key").where("source_customer_id != ''")
+    return both.withColumn("k", F.row_number().over(W.partitionBy("cluster_id").orderBy("ingest_seq"))).select("cluster_id", "k", "source_customer_id")
+
+
+def _listed(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """The values of rows (cluster_id, k, column) up to k = LISTED as one text."""
+    few = rows.where(F.col("k") <= LISTED).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("k", column))).alias("list"))
+    return few.select("cluster_id", F.array_join(F.col("list")[column], ",").alias(name))
+
+
+def listed_members(members: DataFrame) -> DataFrame:
+    """(cluster_id, size, members): members by key, the first LISTED of each cluster."""
+    ranked = members.withColumn("k", F.row_number().over(W.partitionBy("cluster_id").orderBy("customer_key")))
+    return sizes(members).join(_listed(ranked, "customer_key", "members"), "cluster_id")
 
 
 def consensus_name(members: DataFrame, norm: DataFrame, first: int = 20) -> DataFrame:

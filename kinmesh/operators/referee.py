@@ -18,6 +18,7 @@ def judgement(score: Column, conflicts: Column, cfg: ScoringConfig) -> Column:
 
 
 def explanation(score: Column, conflicts: Column, cfg: ScoringConfig) -> Column:
+    # Texts of the explanations, here and in template().
     two = F.format_string("%.2f", F.round(score, 2))
     return (
         F.when(F.size(conflicts) > 0, F.concat(F.lit("Automated Rejection: Critical conflicts detected ("), F.array_join(conflicts, ", "), F.lit(").")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmesh.config import BlockingConfig, ScoringConfig
@@ -15,6 +15,11 @@ from kinmesh.sources.staging import records_from_customer
 from kinmesh.storage import Scratch, table
 
 
+def planned_mode(new: Column, total: Column, delta_share: float = 0.2) -> Column:
+    """config.plan_mode() over columns."""
+    return F.when((total > 0) & (new / total < delta_share), "DELTA").otherwise("FULL")
+
+
 @dataclass
 class Run:
     """One run over raw records. keep: stages that several readers use are written to the shared folder once."""
@@ -59,9 +64,16 @@ class Run:
 _RUNS: dict[tuple, Run] = {}
 
 
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Length and time of a table's files, which change with its content."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+    return status.getLen(), status.getModificationTime()
+
+
 def customer_run(spark: SparkSession, d: str) -> Run:
-    """The run over records derived from the customer table; its tables are kept for the session."""
-    key = (spark.sparkContext.applicationId, d)
+    """The run over records derived from the customer table; its tables are kept for the session, as long as that is the same."""
+    key = (spark.sparkContext.applicationId, d, _state(spark, f"{d}/customer.parquet"))
     if key not in _RUNS:
         _RUNS[key] = Run(records_from_customer(table(spark, d, "customer")), BlockingConfig(), ScoringConfig())
     return _RUNS[key]

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kinmesh.operators import audit, components, review
+from kinmesh.operators import audit, graph, review
 from kinmesh.plans.registry import query
-from kinmesh.storage import table
+from kinmesh.storage import Scratch, table
 
 #: One spelling of a code word, in SQL for both engines' dialects.
 LABEL = "regexp_replace(upper(trim({c})), '[^A-Z]+', '_', 'g')"
@@ -61,10 +61,16 @@ def decision_summary(spark, d):
     return one.withColumn("auto_pct", r6(F.try_divide(100.0 * F.col("auto_links"), "total")))
 
 
-@query(f"WITH {LATEST} SELECT least(CAST(floor(round(score * 5, 9)) AS INT), 4) AS bin, count(*) AS pairs FROM m WHERE score IS NOT NULL GROUP BY 1")
+_BINS = "(VALUES (0, '0.0-0.2', -1e9, 0.2), (1, '0.2-0.4', 0.2, 0.4), (2, '0.4-0.6', 0.4, 0.6), (3, '0.6-0.8', 0.6, 0.8), (4, '0.8-1.0', 0.8, 1e9)) b(bin, label, lo, hi)"
+
+
+@query(f"WITH {LATEST} SELECT label, count(score) AS pairs FROM {_BINS} LEFT JOIN m ON score >= lo AND score < hi GROUP BY label")
 def score_histogram(spark, d):
-    bin_ = F.least(F.floor(F.round(F.col("score") * 5, 9)).cast("int"), F.lit(4))
-    return latest_decisions(spark, d).where("score is not null").groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("pairs"))
+    """Always five bins, open at their upper end but the last; a bin without pairs has 0."""
+    labels = [f"{i / 5:.1f}-{(i + 1) / 5:.1f}" for i in range(5)]
+    s = F.col("score")
+    counts = latest_decisions(spark, d).agg(*[F.count_if((s >= i / 5 if i else s.isNotNull()) & (s < (i + 1) / 5 if i < 4 else F.lit(True))).alias(n) for i, n in enumerate(labels)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"`{n}`").alias("pairs")) for n in labels])))
 
 
 @query(f"WITH {LATEST} SELECT round(avg(score), 6) AS mean_score, count(*) FILTER (WHERE score >= 0.92) AS above_auto, count(*) FILTER (WHERE score >= 0.55 AND score < 0.92) AS gray, count(*) FILTER (WHERE score < 0.55) AS below_review FROM m")
@@ -93,32 +99,84 @@ def candidate_endpoints(spark, d):
 # ---- review
 
 
-@query(f"WITH {LATEST} SELECT sha256(pair_id) AS review_id, pair_id, round(score, 6) AS score, 'PENDING' AS status FROM m WHERE decision = 'REVIEW'")
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """The queue of all pairs whose last decision is REVIEW, with run, ends and time of the decision."""
+    pairs = table(spark, d, "candidate_pairs").select("pair_id", "run_id", "a_key", "b_key")
+    last = latest_decisions(spark, d)
+    return review.enqueue(last.join(pairs, "pair_id")).join(last.select("pair_id", F.col("decided_at").alias("created_at")), "pair_id")
+
+
+_ITEMS = f"{LATEST}, i AS (SELECT sha256(pair_id) AS review_id, m.pair_id, p.run_id, p.a_key, p.b_key, m.signals, m.score, m.decided_at AS created_at, coalesce(score BETWEEN 0.45 AND 0.85, false) AS has_ai_explanation FROM m JOIN candidate_pairs p USING (pair_id) WHERE decision = 'REVIEW')"
+
+
+@query(f"WITH {_ITEMS} SELECT review_id, pair_id, run_id, a_key, b_key, signals, round(score, 6) AS score, 'PENDING' AS status, has_ai_explanation FROM i")
 def review_queue(spark, d):
-    return review.enqueue(latest_decisions(spark, d)).withColumn("score", r6("score")).orderBy(F.desc("score"), "pair_id")
+    return review.queue(items(spark, d), status="PENDING").withColumn("score", r6("score")).drop("evidence", "created_at")
+
+
+@query(f"WITH {_ITEMS} SELECT pair_id, epoch_us(created_at) AS created_us FROM i WHERE run_id = (SELECT min(run_id) FROM candidate_pairs) ORDER BY created_at, pair_id")
+def review_queue_of_run(spark, d):
+    """The items of one run, oldest first."""
+    run = table(spark, d, "candidate_pairs").agg(F.min("run_id")).first()[0]
+    return review.queue(items(spark, d), run_id=run, by="created_at", ascending=True).select("pair_id", F.unix_micros("created_at").alias("created_us"))
+
+
+@query(f"WITH {_ITEMS} SELECT review_id, pair_id, round(score, 6) AS score FROM i WHERE pair_id = (SELECT min(pair_id) FROM i)")
+def review_lookup(spark, d):
+    """The item of one pair, looked up by its review id and by the pair."""
+    found = items(spark, d)
+    pair = found.agg(F.min("pair_id")).first()[0]
+    by_pair = review.lookup(found, pair_id=pair)
+    ids = [r.review_id for r in by_pair.select("review_id").collect()]  # one row
+    return review.lookup(found, review_id=ids[0] if ids else "").select("review_id", "pair_id", r6("score").alias("score"))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    """Decisions on queue items derived from their scores: high ones approved, low ones rejected, some without a reason."""
-    q = review.enqueue(latest_decisions(spark, d))
+    """Decisions on queue items derived from their scores an hour later: high ones approved, low and missing ones rejected, some
+    without a reason; each is contradicted a day later, which comes too late."""
+    q = items(spark, d)
     s = F.col("score")
-    return q.select("pair_id", F.when(s >= 0.75, review.APPROVED).otherwise(review.REJECTED).alias("decision"), F.when(s < 0.6, "no").otherwise("checked by hand").alias("reason"), F.lit("2026-01-01").cast("timestamp").alias("at"))
+    one = q.select("pair_id", F.when(s >= 0.75, review.APPROVED).otherwise(review.REJECTED).alias("decision"), F.when(s < 0.6, "no").otherwise("checked by hand").alias("reason"), (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("at"), F.lit("reviewer_1").alias("reviewer"))
+    late = one.withColumns({"decision": F.when(F.col("decision") == review.APPROVED, review.REJECTED).otherwise(review.APPROVED), "at": F.col("at") + F.expr("INTERVAL 1 DAY")})
+    return one.unionByName(late)
+
+
+def judged_items(spark: SparkSession, d: str) -> DataFrame:
+    return review.apply(items(spark, d), _judged(spark, d))
 
 
 _STATUS = "CASE WHEN score < 0.6 THEN 'PENDING' WHEN score >= 0.75 THEN 'APPROVED' ELSE 'REJECTED' END"
 
 
-@query(f"WITH {LATEST} SELECT pair_id, {_STATUS} AS status FROM m WHERE decision = 'REVIEW' AND score IS NOT NULL")
+@query(f"WITH {_ITEMS} SELECT pair_id, {_STATUS} AS status, CASE WHEN {_STATUS} <> 'PENDING' THEN 'checked by hand' END AS review_reason FROM i")
 def review_apply(spark, d):
-    return review.apply(review.enqueue(latest_decisions(spark, d).where("score is not null")), _judged(spark, d)).select("pair_id", "status")
+    return judged_items(spark, d).select("pair_id", "status", "review_reason")
 
 
-@query(f"WITH {LATEST} SELECT {_STATUS} AS status, count(*) AS items, round(avg(epoch(TIMESTAMPTZ '2026-01-01 00:00:00+00') - epoch(decided_at)), 3) AS avg_age_seconds FROM m WHERE decision = 'REVIEW' AND score IS NOT NULL GROUP BY 1")
+@query(f"WITH {_ITEMS}, s AS (SELECT *, {_STATUS} AS status FROM i) SELECT count(*) FILTER (WHERE status = 'PENDING') AS pending, count(*) FILTER (WHERE status = 'APPROVED') AS approved, count(*) FILTER (WHERE status = 'REJECTED') AS rejected, count(*) AS total, CASE WHEN count(*) FILTER (WHERE status <> 'PENDING') > 0 THEN 3600.0::DOUBLE ELSE 0.0::DOUBLE END AS avg_review_time_seconds, count(*) FILTER (WHERE has_ai_explanation) AS with_ai_explanation FROM s")
 def review_stats(spark, d):
-    base = latest_decisions(spark, d).where("score is not null")
-    judged = review.apply(review.enqueue(base), _judged(spark, d)).join(base.select("pair_id", "decided_at"), "pair_id")
-    age = F.unix_micros(F.lit("2026-01-01").cast("timestamp")) / 1e6 - F.unix_micros("decided_at") / 1e6
-    return judged.groupBy("status").agg(F.count(F.lit(1)).alias("items"), F.round(F.avg(age), 3).alias("avg_age_seconds"))
+    return review.stats(judged_items(spark, d))
+
+
+@query(f"WITH {_ITEMS}, s AS (SELECT *, {_STATUS} AS status FROM i), n AS (SELECT lower(trim(a_key)) AS x, lower(trim(b_key)) AS y FROM s WHERE status = 'APPROVED') SELECT x, y, count(*) AS links FROM n GROUP BY x, y")
+def approved_links(spark, d):
+    """What approvals link, over all runs."""
+    links = review.approved_links(judged_items(spark, d)).select(F.lower(F.trim("x")).alias("x"), F.lower(F.trim("y")).alias("y"))
+    return links.groupBy("x", "y").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query(f"WITH {_ITEMS}, s AS (SELECT *, {_STATUS} AS status FROM i) SELECT pair_id, 'DECISION_REVIEW' AS event_type, 'SYSTEM' AS actor FROM s WHERE pair_id = (SELECT max(pair_id) FROM s WHERE status <> 'PENDING') UNION ALL SELECT pair_id, 'REVIEW_' || status, 'reviewer_1' FROM s WHERE pair_id = (SELECT max(pair_id) FROM s WHERE status <> 'PENDING')")
+def audit_pair_trail(spark, d):
+    """All events whose payload names one pair."""
+    done = judged_items(spark, d)
+    pair = done.where("status != 'PENDING'").agg(F.max("pair_id")).first()[0]
+    return review.events(done).where(F.get_json_object("payload", "$.pair_id") == pair).select(F.get_json_object("payload", "$.pair_id").alias("pair_id"), "event_type", "actor")
+
+
+@query(f"WITH {_ITEMS}, s AS (SELECT *, {_STATUS} AS status FROM i) SELECT event_type, count(*) AS events, true AS known FROM (SELECT 'DECISION_REVIEW' AS event_type FROM s UNION ALL SELECT 'REVIEW_' || status FROM s WHERE status <> 'PENDING') GROUP BY event_type")
+def audit_event_types(spark, d):
+    """The kinds of events that reviews write, and whether a log may hold them."""
+    return review.events(judged_items(spark, d)).groupBy("event_type").agg(F.count(F.lit(1)).alias("events")).withColumn("known", audit.known_type(F.col("event_type")))
 
 
 # ---- runs
@@ -198,10 +256,13 @@ def golden_latest(spark, d):
     return review.latest(_golden_history(spark, d), "cluster_id", ["at", "run_id"]).select("cluster_id", "run_id", "name", "members")
 
 
-@query("SELECT ingest_seq, CASE WHEN contains(upper(STATUS), 'SUSP') THEN 'High' WHEN contains(upper(STATUS), 'INACT') OR contains(upper(STATUS), 'DORMANT') THEN 'Medium' ELSE 'Low' END AS risk FROM challenging_er_200")
+_PROPS = ["CUSCOD", "CUSNMF", "CUSNML", "CUSDOB", "MOBLNO", "TELENO", "MAILID", "ADDRS1", "ADDRS2", "ADDRS3", "ADDRS4", "CITYNM", "NATLID", "TIMSTAMP", "COUNTRY", "POSTCODE", "GENDER", "BRANCH", "ACC_TYPE", "BALANCE", "STATUS"]
+
+
+@query(f"SELECT ingest_seq, CASE WHEN contains(concat_ws(' ', {', '.join(_PROPS)}), 'SUSP') THEN 'High' WHEN contains(concat_ws(' ', {', '.join(_PROPS)}), 'INACT') THEN 'Medium' ELSE 'Low' END AS risk FROM challenging_er_200")
 def risk_level(spark, d):
-    s = F.upper("STATUS")
-    return table(spark, d, "challenging_er_200").select("ingest_seq", F.when(s.contains("SUSP"), "High").when(s.contains("INACT") | s.contains("DORMANT"), "Medium").otherwise("Low").alias("risk"))
+    """Risk by words that stand in any property of a record."""
+    return table(spark, d, "challenging_er_200").select("ingest_seq", graph.risk(*_PROPS).alias("risk"))
 
 
 # ---- audit
@@ -209,11 +270,10 @@ def risk_level(spark, d):
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     """The event stream as one audit log per user."""
-    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    return table(spark, d, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("seq"), "event_type", F.coalesce("props", F.lit("{}")).alias("payload"), at.alias("at"))
+    return table(spark, d, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("seq"), "event_type", F.coalesce("props", F.lit("{}")).alias("payload"), audit.iso(F.col("ts")).alias("at"))
 
 
-_EV = "e AS (SELECT user_id AS log, event_id AS seq, event_type, coalesce(props, '{}') AS payload, strftime(ts, '%Y-%m-%d %H:%M:%S') AS \"at\", row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)"
+_EV = "e AS (SELECT user_id AS log, event_id AS seq, event_type, coalesce(props, '{}') AS payload, regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '') AS \"at\", row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)"
 
 
 @query(f"WITH RECURSIVE {_EV}, c AS (SELECT log, seq, k, repeat('0', 64) AS prev_hash, sha256(concat_ws('|', repeat('0', 64), event_type, payload, \"at\")) AS this_hash FROM e WHERE k = 1 UNION ALL SELECT e.log, e.seq, e.k, c.this_hash, sha256(concat_ws('|', c.this_hash, e.event_type, e.payload, e.\"at\")) FROM c JOIN e ON e.log = c.log AND e.k = c.k + 1) SELECT log, seq, prev_hash, this_hash FROM c")
@@ -230,9 +290,10 @@ def audit_verify(spark, d):
     return audit.verify(forged)
 
 
-@query(f"WITH {_EV} SELECT event_type, count(*) AS events, min(\"at\") AS first_at, max(\"at\") AS last_at FROM e GROUP BY event_type")
+@query(f"WITH {_EV} SELECT event_type, count(*) AS events, min(\"at\") AS first_at, max(\"at\") AS last_at, true AS chain_valid FROM e GROUP BY event_type")
 def audit_event_counts(spark, d):
-    return _events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    """The compliance report: counts and times per kind of event, and whether the chains are intact."""
+    return audit.compliance(audit.chain(_events(spark, d)))
 
 
 @query(f"WITH {_EV} SELECT seq, event_type, left(sha256(payload), 16) || '...' AS payload_hash FROM e WHERE event_type = (SELECT min(event_type) FROM e) ORDER BY seq LIMIT 100")
@@ -249,9 +310,18 @@ def audit_pair_trail(spark, d):
     return docs.select("doc_id", F.get_json_object("text", "$.event").alias("event"), F.get_json_object("text", "$.actor").alias("actor")).where("actor = 'system'")
 
 
-@query(f"WITH {_EV} SELECT seq, event_type, \"at\" FROM e ORDER BY seq LIMIT 10000")
+@query(f"WITH {_EV} SELECT log, seq, event_type, \"at\" FROM e WHERE log = (SELECT min(log) FROM e) ORDER BY seq LIMIT 10000")
 def audit_export(spark, d):
-    return _events(spark, d).orderBy("seq").limit(10000).select("seq", "event_type", "at")
+    """The events of one log, written as JSON and read back."""
+    e = _events(spark, d)
+    out = Scratch(spark, "export").path()
+    audit.export(e, out, log=e.agg(F.min("log")).first()[0])
+    return spark.read.schema("log bigint, seq bigint, event_type string, at string").json(out)
 
 
-_ = components
+@query(f"WITH {_EV} SELECT log, seq, sha256(repeat('0', 64) || event_type || payload || \"at\") AS this_hash FROM e WHERE k = 1")
+def audit_database_hash(spark, d):
+    """The first hash of each log as the database function makes it."""
+    e = _events(spark, d)
+    first = e.groupBy("log").agg(F.min_by(F.struct(*e.columns), "seq").alias("r")).select("r.*")
+    return first.select("log", "seq", audit.database_hash(F.lit(audit.GENESIS), F.col("event_type"), F.col("payload"), F.col("at")).alias("this_hash"))

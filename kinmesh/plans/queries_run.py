@@ -7,15 +7,15 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from kinmesh.config import BlockingConfig, ScoringConfig, plan_mode
+from kinmesh.config import BlockingConfig, ScoringConfig
 from kinmesh.functions import text as t
 from kinmesh.functions.similarity import jaro_winkler
-from kinmesh.operators import audit, blocking, components, referee, scoring
+from kinmesh.operators import blocking, components, explanations, graph, lifecycle, referee, review, scoring
 from kinmesh.plans import sql
-from kinmesh.plans.pipeline import Run, customer_run
+from kinmesh.plans.pipeline import Run, customer_run, planned_mode
 from kinmesh.plans.registry import query
 from kinmesh.sources import staging
-from kinmesh.storage import table
+from kinmesh.storage import Scratch, table
 
 CFG = ScoringConfig()
 
@@ -73,10 +73,24 @@ def address_concat(spark, d):
     return table(spark, d, "challenging_er_200").select("ingest_seq", F.nullif(F.concat_ws(" ", *parts), F.lit("")).alias("address"))
 
 
-@query(f"SELECT ingest_seq, coalesce({sql.some('CUSNML')}, split_part({sql.some('MAILID')}, '@', 1), 'Phone: ' || {sql.some('TELENO')}, 'ID: ' || {sql.some('CUSCOD')}, 'NID: ' || {sql.some('NATLID')}) AS name FROM challenging_er_200")
+_FULL = sql.FULL_NAME.replace("first_name", "CUSNMF").replace("last_name", "CUSNML")
+_PHONE = f"coalesce({sql.some('MOBLNO')}, {sql.some('TELENO')})"
+_ADDRESS = "nullif(concat_ws(' ', " + ", ".join(sql.some(f"ADDRS{i}") for i in (1, 2, 3, 4)) + "), '')"
+_RAW = ["CUSCOD", "CUSNMF", "CUSNML", "CUSDOB", "MOBLNO", "TELENO", "MAILID", "ADDRS1", "ADDRS2", "ADDRS3", "ADDRS4", "CITYNM", "NATLID", "TIMSTAMP", "COUNTRY", "POSTCODE", "GENDER", "BRANCH", "ACC_TYPE", "BALANCE", "STATUS"]
+_LAST = ", ".join(f"CASE WHEN length({x}) > 2 THEN {x} END" for x in (sql.some("CUSDOB"), _ADDRESS, *(sql.some(c) for c in ("CITYNM", *_RAW))))
+_FALLBACK = f"coalesce({_FULL}, split_part({sql.some('MAILID')}, '@', 1), 'Phone: ' || {_PHONE}, 'ID: ' || {sql.some('CUSCOD')}, 'NID: ' || {sql.some('NATLID')}, {_LAST})"
+
+
+@query(f"SELECT ingest_seq, {_FALLBACK} AS name FROM challenging_er_200 WHERE {_FALLBACK} IS NOT NULL")
 def name_fallback(spark, d):
-    s = {c: t.some(F.col(c)) for c in ("CUSNML", "MAILID", "TELENO", "CUSCOD", "NATLID")}
-    return table(spark, d, "challenging_er_200").select("ingest_seq", staging.name_fallback(s["CUSNML"], s["MAILID"], s["TELENO"], s["CUSCOD"], s["NATLID"]).alias("name"))
+    return staging.mapped(table(spark, d, "challenging_er_200")).select("ingest_seq", "name")
+
+
+@query(f"SELECT ingest_seq, coalesce(split_part({sql.some('MAILID')}, '@', 1), 'Phone: ' || {_PHONE}, 'ID: ' || {sql.some('CUSCOD')}, 'NID: ' || {sql.some('NATLID')}, {_LAST.replace(sql.some('CUSNMF'), 'NULL::VARCHAR').replace(sql.some('CUSNML'), 'NULL::VARCHAR')}) AS name FROM challenging_er_200")
+def name_stand_ins(spark, d):
+    """What stands for the name where the name columns are empty."""
+    null = F.lit(None).cast("string")
+    return staging.mapped(table(spark, d, "challenging_er_200").withColumns({"CUSNMF": null, "CUSNML": null})).select("ingest_seq", "name")
 
 
 _HDR = {"CUSCOD": "source_customer_id", "CUSNMF": "first_name", "CUSNML": "last_name", "CUSDOB": "dob", "MOBLNO": "phone", "TELENO": "phone", "MAILID": "email", "ADDRS1": "address", "ADDRS2": "address", "ADDRS3": "address", "ADDRS4": "address", "CITYNM": "city", "NATLID": "natid", "TIMSTAMP": "timestamp"}
@@ -87,13 +101,18 @@ def hdr_map(spark, d):
     return spark.createDataFrame(list(staging.route(table(spark, d, "challenging_er_200").columns).items()), "header string, target string")
 
 
-@query(f"SELECT ingest_seq, {sql.name(sql.FULL_NAME.replace('first_name', 'CUSNMF').replace('last_name', 'CUSNML'))} AS name_norm, {sql.phone('coalesce(' + sql.some('MOBLNO') + ', ' + sql.some('TELENO') + ')')} AS phone_norm, {sql.email(sql.some('MAILID'))} AS email_norm, {sql.natid(sql.some('NATLID'))} AS natid_norm, {sql.name(sql.some('CITYNM'))} AS city_norm FROM challenging_er_200 WHERE {sql.FULL_NAME.replace('first_name', 'CUSNMF').replace('last_name', 'CUSNML')} IS NOT NULL")
+@query(f"SELECT ingest_seq, {sql.name(_FALLBACK)} AS name_norm, {sql.phone(_PHONE)} AS phone_norm, {sql.email(sql.some('MAILID'))} AS email_norm, {sql.natid(sql.some('NATLID'))} AS natid_norm, {sql.name(sql.some('CITYNM'))} AS city_norm, {sql.some('GENDER')} AS gender, {sql.some('TIMSTAMP')} AS stamp, {sql.some('MOBLNO')} AS mobile, {sql.some('TELENO')} AS landline FROM challenging_er_200 WHERE {_FALLBACK} IS NOT NULL")
 def staging_normalized(spark, d):
-    """The staging rows through header routing and normalization, rows without any name column left out."""
+    """The staging rows through header routing, name fallback and normalization, with their metadata."""
     from kinmesh.operators.normalize import normalize
 
-    raw = table(spark, d, "challenging_er_200").where(F.coalesce(t.some(F.col("CUSNMF")), t.some(F.col("CUSNML"))).isNotNull())
-    return normalize(staging.mapped(raw)).select("ingest_seq", "name_norm", "phone_norm", "email_norm", "natid_norm", "city_norm")
+    norm = normalize(staging.mapped(table(spark, d, "challenging_er_200")))
+    return norm.select("ingest_seq", "name_norm", "phone_norm", "email_norm", "natid_norm", "city_norm", "metadata.gender", F.col("metadata.timestamp").alias("stamp"), "metadata.mobile", "metadata.landline")
+
+
+@query("SELECT count(*) AS new_records, count(*) + (SELECT count(*) FROM customers_norm) AS total_records FROM challenging_er_200")
+def staging_stats(spark, d):
+    return staging.stats(table(spark, d, "challenging_er_200"), table(spark, d, "customers_norm"))
 
 
 @query(sql.chain("norm", "SELECT customer_key, ingest_seq, source_customer_id, source_system, name_norm, phone_norm, email_norm, dob_norm, address_norm, city_norm, natid_norm, record_hash FROM norm"))
@@ -248,9 +267,29 @@ def evidence_text(spark, d):
     return customer_run(spark, d).decided.select("pair_id", kind.alias("kind"), F.format_string("%.1f%%", F.round(100 * F.col("score"), 1)).alias("score_text"))
 
 
-@query()
+def _evidence_sql() -> str:
+    """One SELECT per field with the seven keys of its evidence."""
+    parts = []
+    for f, w in sql.WEIGHTS.items():
+        fuzzy = f in sql.FUZZY
+        sim = f"{f}_sim" if fuzzy else f"CASE WHEN {f}_kind = 'exact_match' THEN 1.0 ELSE 0.0 END"
+        gain = f"CASE {f}_kind WHEN 'exact_match' THEN {w} WHEN 'fuzzy_match' THEN {w} * ({sim}) WHEN 'low_similarity' THEN 0.5 * {w} * ({sim}) WHEN 'mismatch' THEN {-0.3 * w if fuzzy else -0.5 * w} ELSE 0 END"
+        share = f"' similarity (' || printf('%.1f%%', round(100 * ({sim}), 1)) || ') on {f}_norm'"
+        said = f"CASE {f}_kind WHEN 'both_null' THEN 'Both values are null - no evidence' WHEN 'one_null' THEN 'One value is null ({f}_norm)' WHEN 'exact_match' THEN 'Exact match on {f}_norm' WHEN 'fuzzy_match' THEN 'High' || {share} WHEN 'low_similarity' THEN 'Moderate' || {share} ELSE " + (f"'Low' || {share}" if fuzzy else f"'Values differ for {f}_norm'") + " END"
+        parts.append(f"SELECT pair_id, '{f}_norm' AS field, a.{f}_norm AS value_a, b.{f}_norm AS value_b, {f}_kind AS type, round({sim}, 6) AS similarity, round({gain}, 6) AS weight, {said} AS explanation FROM decided d JOIN norm a ON a.customer_key = a_key JOIN norm b ON b.customer_key = b_key WHERE NOT same_hash")
+    parts.append("SELECT pair_id, 'record_hash', a.record_hash, b.record_hash, 'exact_match', 1.0, 1.0, 'Exact match on record_hash' FROM decided d JOIN norm a ON a.customer_key = a_key JOIN norm b ON b.customer_key = b_key WHERE same_hash")
+    return " UNION ALL ".join(parts)
+
+
+_KEYS = ["field", "value_a", "value_b", "type", "similarity", "weight", "explanation"]
+
+
+@query(sql.chain("decided", _evidence_sql()))
 def evidence_json(spark, d):
-    return customer_run(spark, d).decided.select("pair_id", F.to_json(scoring.evidence()).alias("evidence"))
+    """The evidence of every pair written as JSON and read again, one row per field."""
+    written = customer_run(spark, d).decided.select("pair_id", F.to_json(scoring.evidence()).alias("evidence"))
+    kinds = "array<struct<field:string,value_a:string,value_b:string,type:string,similarity:double,weight:double,explanation:string>>"
+    return written.select("pair_id", F.explode(F.from_json("evidence", kinds)).alias("e")).select("pair_id", *[F.col(f"e.{k}").alias(k) for k in _KEYS])
 
 
 @query(sql.chain("decided", "SELECT pair_id, round(score, 6) AS score, decision FROM decided ORDER BY round(score, 9) DESC, pair_id LIMIT 100"))
@@ -258,9 +297,12 @@ def decisions_list(spark, d):
     return customer_run(spark, d).decided.orderBy(F.round("score", 9).desc(), "pair_id").limit(100).select("pair_id", r6("score").alias("score"), "decision")
 
 
-@query(sql.chain("decided", "SELECT p.pair_id, round(score, 6) AS score, decision, a.name_norm AS a_name, b.name_norm AS b_name, a.phone_norm AS a_phone, b.phone_norm AS b_phone FROM decided p JOIN norm a ON a.customer_key = a_key JOIN norm b ON b.customer_key = b_key WHERE decision <> 'REJECT'"))
+_SIDES = ["name", "phone", "email", "dob", "address"]
+
+
+@query(sql.chain("decided", "SELECT p.pair_id, round(score, 6) AS score, decision, " + ", ".join(f"{x}.{f}_norm AS {x}_{f}" for f in _SIDES for x in "ab") + " FROM decided p JOIN norm a ON a.customer_key = a_key JOIN norm b ON b.customer_key = b_key"))
 def match_detail(spark, d):
-    return customer_run(spark, d).decided.where("decision != 'REJECT'").select("pair_id", r6("score").alias("score"), "decision", F.col("a_name_norm").alias("a_name"), F.col("b_name_norm").alias("b_name"), F.col("a_phone_norm").alias("a_phone"), F.col("b_phone_norm").alias("b_phone"))
+    return customer_run(spark, d).decided.select("pair_id", r6("score").alias("score"), "decision", *[F.col(f"{x}_{f}_norm").alias(f"{x}_{f}") for f in _SIDES for x in "ab"])
 
 
 @query(sql.chain("pairs", "SELECT pair_id, split_part(pair_id, ':', 1) AS a_key, split_part(pair_id, ':', 2) AS b_key, a.name_norm AS a_name, b.name_norm AS b_name FROM (SELECT pair_id FROM pairs) p JOIN norm a ON a.customer_key = split_part(pair_id, ':', 1) JOIN norm b ON b.customer_key = split_part(pair_id, ':', 2)"))
@@ -271,12 +313,14 @@ def candidate_detail(spark, d):
     return run.pairs.select("pair_id", parts[0].alias("a_key"), parts[1].alias("b_key")).join(side("a"), "a_key").join(side("b"), "b_key")
 
 
-@query(sql.chain("decided", "ends AS (SELECT pair_id, a_key AS k FROM decided WHERE decision <> 'REJECT' UNION ALL SELECT pair_id, b_key FROM decided WHERE decision <> 'REJECT') SELECT x.pair_id, count(DISTINCT y.pair_id) AS related FROM ends x JOIN ends y ON x.k = y.k AND x.pair_id <> y.pair_id GROUP BY x.pair_id").replace(")\nends AS", "),\nends AS"))
+@query(sql.chain("decided", "ends AS (SELECT pair_id, a_key AS k FROM decided UNION ALL SELECT pair_id, b_key FROM decided) SELECT x.pair_id, count(DISTINCT y.pair_id) AS related FROM ends x JOIN ends y ON x.k = y.k AND x.pair_id <> y.pair_id GROUP BY x.pair_id").replace(")\nends AS", "),\nends AS"))
 def related_matches(spark, d):
-    """Pairs that share an end with each linked or reviewed pair; one equi-join on ends in place of an OR."""
-    ends = customer_run(spark, d).decided.where("decision != 'REJECT'").select("pair_id", F.explode(F.array("a_key", "b_key")).alias("k"))
-    other = ends.select("k", F.col("pair_id").alias("other"))
-    return ends.join(other, "k").where("pair_id != other").groupBy("pair_id").agg(F.count_distinct("other").alias("related"))
+    """How many pairs share an end with each pair. Two pairs share one end at most, so the degrees of the ends say it."""
+    decided = customer_run(spark, d).decided.select("pair_id", "a_key", "b_key")
+    degree = decided.select(F.explode(F.array("a_key", "b_key")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    side = lambda p: degree.select(F.col("k").alias(f"{p}_key"), F.col("n").alias(p))
+    both = decided.join(side("a"), "a_key").join(side("b"), "b_key")
+    return both.select("pair_id", (F.col("a") + F.col("b") - 2).alias("related")).where("related > 0")
 
 
 # ---- referee and planner
@@ -301,17 +345,49 @@ def referee_parse(spark, d):
     return docs.select("doc_id", *[c.alias(n) for n, c in referee.parse(F.col("said")).items()])
 
 
-@query()
+def _template_sql() -> str:
+    line = lambda f: f"'- **{f}_norm**: ' || {f}_kind || ' (' || printf('%.0f%%', round(100 * " + (f"{f}_sim" if f in sql.FUZZY else f"CASE WHEN {f}_kind = 'exact_match' THEN 1.0 ELSE 0.0 END") + ", 0)) || ')' || chr(10)"
+    lines = f"CASE WHEN same_hash THEN '- **record_hash**: exact_match (100%)' || chr(10) ELSE {' || '.join(line(f) for f in sql.WEIGHTS)} END"
+    return f"SELECT pair_id, '## Match Analysis (Template Fallback)' || chr(10) || '**Match Score:** ' || printf('%.1f%%', round(100 * score, 1)) || chr(10) || chr(10) || '### Evidence:' || chr(10) || {lines} || chr(10) || '### Guidance:' || chr(10) || 'Please review the fields manually.' AS text FROM decided"
+
+
+@query(sql.chain("decided", _template_sql()))
 def referee_template(spark, d):
-    return customer_run(spark, d).decided.where("decision = 'REVIEW'").select("pair_id", referee.template(F.col("score"), scoring.evidence()).alias("text"))
+    return customer_run(spark, d).decided.select("pair_id", referee.template(F.col("score"), scoring.evidence()).alias("text"))
+
+
+@query(sql.chain("decided", "SELECT pair_id, CASE WHEN pair_id < '8' THEN 'UNSURE' WHEN conflicts <> '' THEN 'NO_MATCH' WHEN round(score, 9) > 0.85 THEN 'MATCH' WHEN round(score, 9) < 0.45 THEN 'NO_MATCH' ELSE 'UNSURE' END AS judgement, CASE WHEN pair_id < '8' THEN 'written model' ELSE 'rules' END AS model FROM decided"))
+def explain_view(spark, d):
+    """Explanations kept as JSON lines (here of the pairs before '8', written twice) go before those made by rule."""
+    run = customer_run(spark, d)
+    path = Scratch(spark, "explanations").path()
+    some = explanations.made(run.decided.where("pair_id < '8'"), CFG)
+    explanations.append(some.withColumn("model_name", F.lit("first model")), path)
+    explanations.append(some.withColumns({"model_name": F.lit("written model"), "judgement": F.lit(None).cast("string")}), path)
+    return explanations.view(run.decided, explanations.read(spark, path), CFG).select("pair_id", "judgement", "model")
 
 
-@query("SELECT r.run_id, CASE WHEN records_in > 0 AND records_in * 1.0 / t < 0.2 THEN 'DELTA' ELSE 'FULL' END AS mode FROM runs r, (SELECT sum(records_in) AS t FROM runs) WHERE records_in IS NOT NULL")
+@query("SELECT r.run_id, CASE WHEN coalesce(records_in, 0) * 1.0 / t < 0.2 THEN 'DELTA' ELSE 'FULL' END AS mode FROM runs r, (SELECT sum(records_in) AS t FROM runs)")
 def planner_decision(spark, d):
-    runs = table(spark, d, "runs").where("records_in is not null")
+    """The mode the planner gives each run, its records being new beside those of all runs."""
+    runs = table(spark, d, "runs")
     total = runs.agg(F.sum("records_in").alias("t"))
-    assert plan_mode(1, 10) == "DELTA"
-    return runs.crossJoin(F.broadcast(total)).select("run_id", F.when((F.col("records_in") > 0) & (F.col("records_in") / F.col("t") < 0.2), "DELTA").otherwise("FULL").alias("mode"))
+    return runs.crossJoin(F.broadcast(total)).select("run_id", planned_mode(F.coalesce("records_in", F.lit(0)), F.col("t")).alias("mode"))
+
+
+@query("SELECT run_id, coalesce(status IN ('FAILED', 'CANCELLED'), false) AS can_retry, coalesce(status = 'RUNNING', false) AS can_cancel FROM runs")
+def run_actions(spark, d):
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return table(spark, d, "runs").select("run_id", no(lifecycle.can_retry(F.col("status"))).alias("can_retry"), no(lifecycle.can_cancel(F.col("status"))).alias("can_cancel"))
+
+
+@query("SELECT run_id, CASE WHEN status = 'RUNNING' THEN 'COMPLETED' ELSE status END AS status, CASE WHEN status = 'RUNNING' THEN 7 ELSE coalesce(auto_links, 0) END AS auto_links, coalesce(records_in, 0) AS records_in FROM runs UNION ALL SELECT 'new-run', 'PENDING', 0, 0")
+def runs_upsert(spark, d):
+    """Running runs completed and one run added: what is there is replaced, what isn't is inserted."""
+    runs = table(spark, d, "runs")
+    done = runs.where("status = 'RUNNING'").withColumns({"status": F.lit("COMPLETED"), "auto_links": F.lit(7).cast("bigint")})
+    new = runs.limit(0).unionByName(spark.createDataFrame([("new-run", "PENDING")], "run_id string, status string"), allowMissingColumns=True)
+    return lifecycle.upsert(runs, done.unionByName(new)).select("run_id", "status", "auto_links", "records_in")
 
 
 # ---- clusters and graph
@@ -324,7 +400,30 @@ def connected_components(spark, d):
 
 @query(sql.chain("clusters", "SELECT cluster_id, count(*) AS size, string_agg(customer_key, ',' ORDER BY customer_key) AS members FROM components GROUP BY cluster_id"))
 def clusters(spark, d):
-    return customer_run(spark, d).members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), csv_of(F.collect_list("customer_key")).alias("members"))
+    return components.listed_members(customer_run(spark, d).members)
+
+
+@query(sql.chain("clusters", "held AS (SELECT min(cluster_id) AS c FROM sizes WHERE size > 1) SELECT customer_key, name_norm, size FROM components JOIN norm USING (customer_key) JOIN sizes USING (cluster_id) WHERE cluster_id = (SELECT c FROM held)").replace(")\nheld AS", "),\nheld AS"))
+def cluster_detail(spark, d):
+    """The members of one cluster, every one a row."""
+    run = customer_run(spark, d)
+    sized = components.sizes(run.members)
+    own = sized.where("size > 1").orderBy("cluster_id").limit(1)
+    return run.members.join(F.broadcast(own), "cluster_id").join(run.norm.select("customer_key", "name_norm"), "customer_key").select("customer_key", "name_norm", "size")
+
+
+_BOTH = "both_links AS (SELECT a_key AS x, b_key AS y FROM decided WHERE decision = 'AUTO_LINK' OR decision = 'REVIEW' AND round(score, 9) >= 0.8), two AS (SELECT x, y FROM both_links UNION SELECT y, x FROM both_links), seen(customer_key, label) AS (SELECT customer_key, customer_key FROM norm UNION SELECT l.y, r.label FROM seen r JOIN two l ON l.x = r.customer_key WHERE r.label < l.y)"
+
+
+@query(sql.chain("decided", f"{_BOTH} SELECT customer_key, min(label) AS cluster_id FROM seen GROUP BY customer_key").replace(")\nboth_links AS", "),\nboth_links AS").replace("WITH ", "WITH RECURSIVE ", 1))
+def clusters_with_approvals(spark, d):
+    """Clusters of automatic links and approved reviews together."""
+    run = customer_run(spark, d)
+    waiting = review.enqueue(run.decided)
+    s = F.round("score", 9)
+    said = waiting.select("pair_id", F.when(s >= 0.8, review.APPROVED).otherwise(review.REJECTED).alias("decision"), F.lit("looked at").alias("reason"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    approved = review.approved_links(review.apply(waiting, said))
+    return components.clusters(run.norm, run.links.unionByName(approved))
 
 
 @query(sql.chain("golden", "SELECT * FROM golden"))
@@ -418,13 +517,39 @@ def split_record(spark, d):
     return components.clusters(run.norm, left)
 
 
-@query(sql.chain("clusters", "SELECT count(*) FILTER (WHERE size > 1) AS clusters, (SELECT count(*) FROM norm) AS records, (SELECT count(*) FROM decided WHERE decision = 'REVIEW') AS reviews FROM sizes").replace("round(score, 9) >= 0.90", "round(score, 9) >= 0.95"))
-def preview_clusters(spark, d):
-    """What-if: the same run decided with a stricter threshold, nothing kept."""
+_STRICT = ("round(score, 9) >= 0.90", "round(score, 9) >= 0.95")
+
+
+def _strict(spark, d) -> Run:
+    """The same run decided with a stricter threshold, nothing kept."""
     run = customer_run(spark, d)
     strict = Run(run.raw, run.blocking, replace(CFG, auto=0.95), keep=False)
     strict.__dict__["norm"] = run.norm
     strict.__dict__["decided"] = run.decided.withColumn("decision", scoring.decide(strict.scoring))
+    return strict
+
+
+_SEEN = "m AS (SELECT customer_key, cluster_id, size, ingest_seq, coalesce(name_norm, 'Unknown') AS name FROM components JOIN sizes USING (cluster_id) JOIN norm USING (customer_key)), tied AS (SELECT a_key AS k FROM decided WHERE decision = 'REVIEW' UNION SELECT b_key FROM decided WHERE decision = 'REVIEW'), alone AS (SELECT * FROM m WHERE size = 1 AND customer_key NOT IN (SELECT k FROM tied))"
+
+
+@query(sql.chain("clusters", f"{_SEEN} SELECT cluster_id AS id, arg_min(name, ingest_seq) || ' (Preview)' AS label, 'cluster' AS type FROM m WHERE size > 1 GROUP BY cluster_id UNION ALL SELECT customer_key, name, 'record' FROM m UNION ALL SELECT 'singleton_' || customer_key, name || ' (Singleton)', 'cluster' FROM alone").replace(")\nm AS", "),\nm AS").replace(*_STRICT))
+def preview_nodes(spark, d):
+    """What-if: the nodes of the graph a stricter threshold would give."""
+    run = _strict(spark, d)
+    return graph.preview(run.norm, run.decided, run.members)[0]
+
+
+@query(sql.chain("clusters", f"{_SEEN} SELECT customer_key AS source, cluster_id AS target, 'MEMBER_OF' AS type, 1.0::DOUBLE AS weight FROM m WHERE size > 1 UNION ALL SELECT customer_key, 'singleton_' || customer_key, 'MEMBER_OF', 1.0 FROM alone UNION ALL SELECT a_key, b_key, CASE decision WHEN 'AUTO_LINK' THEN 'MATCHES' ELSE 'REVIEW' END, round(score, 6) FROM decided WHERE decision <> 'REJECT'").replace(")\nm AS", "),\nm AS").replace(*_STRICT))
+def preview_edges(spark, d):
+    """What-if: the edges of the graph a stricter threshold would give."""
+    run = _strict(spark, d)
+    return graph.preview(run.norm, run.decided, run.members)[1]
+
+
+@query(sql.chain("clusters", "SELECT count(*) FILTER (WHERE size > 1) AS clusters, (SELECT count(*) FROM norm) AS records, (SELECT count(*) FROM decided WHERE decision = 'REVIEW') AS reviews FROM sizes").replace("round(score, 9) >= 0.90", "round(score, 9) >= 0.95"))
+def preview_clusters(spark, d):
+    """What-if: the counters of the same run decided with a stricter threshold."""
+    run, strict = customer_run(spark, d), _strict(spark, d)
     sized = components.sizes(strict.members).agg(F.count_if(F.col("size") > 1).alias("clusters"))
     return sized.crossJoin(run.norm.agg(F.count(F.lit(1)).alias("records"))).crossJoin(strict.decided.agg(F.count_if(F.col("decision") == "REVIEW").alias("reviews")))
 
@@ -442,16 +567,26 @@ def entity_list(spark, d):
     return customer_run(spark, d).golden.orderBy(F.desc("member_count"), "cluster_id").offset(20).limit(20).select("cluster_id", F.col("member_count").alias("size"), F.col("name_norm").alias("name"))
 
 
-@query(sql.chain("norm", "SELECT customer_key, source_customer_id, coalesce(name_norm, 'Unknown') AS name, 'Low' AS risk_level, '0.00' AS balance, coalesce(email_norm, 'N/A') AS email, coalesce(phone_norm, 'N/A') AS phone, coalesce(city_norm, '') AS city, 'ACT' AS status, 'VERIFIED' AS kyc_status FROM norm UNION ALL SELECT 'missing-record', 'missing-record', 'Unknown (missing-...)', 'Low', '0.00', 'N/A', 'N/A', '', 'Incomplete', 'PENDING'"))
+_EMPTY = ", ".join(f"coalesce({f}_norm, '') AS {f}_norm" for f in ("name", "email", "phone", "dob", "address"))
+
+
+@query(sql.chain("norm", f"SELECT customer_key, source_customer_id, coalesce(name_norm, 'Unknown') AS name, 'Unknown' AS product, 'Low' AS risk_level, '0.00' AS balance, coalesce(email_norm, 'N/A') AS email, coalesce(phone_norm, 'N/A') AS phone, {_EMPTY}, coalesce(city_norm, '') AS city, 'ACT' AS status, 'VERIFIED' AS kyc_status, '{{}}' AS metadata FROM norm UNION ALL SELECT 'missing-record', 'missing-record', 'Unknown (missing-...)', NULL, NULL, NULL, NULL, NULL, 'UNKNOWN (missing-...)', NULL, NULL, NULL, NULL, NULL, 'Incomplete', 'PENDING', NULL"))
 def record_profile(spark, d):
-    """Fixed view of each record, and of one key that no record has."""
+    """Fixed view of each record with its defaults, and of one key that no record has."""
     norm = customer_run(spark, d).norm
     wanted = norm.select("customer_key").unionByName(spark.createDataFrame([("missing-record",)], "customer_key string"))
     both = wanted.join(norm.withColumn("known", F.lit(True)), "customer_key", "left")
-    status = F.when(F.col("known").isNull(), "Incomplete").otherwise(F.coalesce("metadata.status", F.lit("ACT")))
-    name = F.when(F.col("known").isNull(), F.concat(F.lit("Unknown ("), F.left("customer_key", F.lit(8)), F.lit("...)"))).otherwise(F.coalesce("name_norm", F.lit("Unknown")))
-    cols = {"source_customer_id": F.coalesce("source_customer_id", "customer_key"), "name": name, "risk_level": F.lit("Low"), "balance": F.lit("0.00"), "email": F.coalesce("email_norm", F.lit("N/A")), "phone": F.coalesce("phone_norm", F.lit("N/A")), "city": F.coalesce("city_norm", F.lit("")), "status": status}
-    return both.select("customer_key", *[c.alias(n) for n, c in cols.items()], F.when(status == "ACT", "VERIFIED").otherwise("PENDING").alias("kyc_status"))
+    lost = F.col("known").isNull()
+    stand_in = F.concat(F.lit(" ("), F.left("customer_key", F.lit(8)), F.lit("...)"))
+    status = F.when(lost, "Incomplete").otherwise(F.coalesce("metadata.status", F.lit("ACT")))
+    or_ = lambda c, default: F.when(~lost, F.coalesce(c, F.lit(default)))
+    cols = {
+        "source_customer_id": F.coalesce("source_customer_id", "customer_key"), "name": F.when(lost, F.concat(F.lit("Unknown"), stand_in)).otherwise(F.coalesce("name_norm", F.lit("Unknown"))), "product": F.when(~lost, "Unknown"),
+        "risk_level": F.when(~lost, graph.risk("name_norm", "email_norm", "phone_norm", "dob_norm", "natid_norm", "metadata.status")), "balance": F.when(~lost, "0.00"), "email": or_("email_norm", "N/A"), "phone": or_("phone_norm", "N/A"),
+        "name_norm": F.when(lost, F.concat(F.lit("UNKNOWN"), stand_in)).otherwise(F.coalesce("name_norm", F.lit(""))), "email_norm": or_("email_norm", ""), "phone_norm": or_("phone_norm", ""), "dob_norm": or_("dob_norm", ""), "address_norm": or_("address_norm", ""),
+        "city": or_("city_norm", ""), "status": status, "kyc_status": F.when(status == "ACT", "VERIFIED").otherwise("PENDING"), "metadata": F.to_json("metadata"),
+    }
+    return both.select("customer_key", *[c.alias(n) for n, c in cols.items()])
 
 
 @query(sql.chain("clusters", "tied AS (SELECT a_key AS k FROM decided WHERE decision <> 'REJECT' UNION SELECT b_key FROM decided WHERE decision <> 'REJECT'), many AS (SELECT count(*) AS c, coalesce(sum(size), 0) AS m FROM sizes WHERE size > 1), u AS (SELECT count(*) AS u FROM norm WHERE customer_key NOT IN (SELECT k FROM tied)), p AS (SELECT count(*) FILTER (WHERE round(score, 9) >= 0.85) AS auto_links, count(*) FILTER (WHERE round(score, 9) >= 0.6 AND round(score, 9) < 0.85) AS review_items, count(*) FILTER (WHERE round(score, 9) < 0.6) AS reject_items, count(*) AS total_pairs FROM decided) SELECT CAST(m + u AS BIGINT) AS total_records, u AS total_uniques, round(100.0 * (m - c) / (m + u), 1) AS dedup_rate, auto_links, review_items, reject_items, total_pairs FROM many, u, p").replace(")\ntied AS", "),\ntied AS"))
@@ -466,6 +601,76 @@ def exec_report(spark, d):
     return many.crossJoin(alone).crossJoin(tiers).select(total.alias("total_records"), F.col("u").alias("total_uniques"), F.round(F.try_divide(100.0 * (F.col("m") - F.col("c")), total), 1).alias("dedup_rate"), "auto_links", "review_items", "reject_items", "total_pairs")
 
 
+@query(sql.chain("golden", "SELECT cluster_id, member_count AS size, name_norm AS name FROM golden WHERE member_count > 1 ORDER BY member_count DESC, cluster_id LIMIT 5"))
+def report_top_clusters(spark, d):
+    return report_sheets(spark, d)["top entities"]
+
+
+@query(sql.chain("decided", "tied AS (SELECT a_key AS k FROM decided WHERE decision <> 'REJECT' UNION SELECT b_key FROM decided WHERE decision <> 'REJECT') SELECT coalesce(name_norm, email_norm, source_customer_id, 'Unknown') AS name, coalesce(source_customer_id, customer_key, 'N/A') AS id FROM norm WHERE customer_key NOT IN (SELECT k FROM tied) ORDER BY name_norm NULLS LAST, customer_key LIMIT 10").replace(")\ntied AS", "),\ntied AS"))
+def report_first_uniques(spark, d):
+    return report_sheets(spark, d)["uniques"]
+
+
+def report_sheets(spark, d) -> dict:
+    """The sheets of the executive report; sources.workbook.write() makes a file of them."""
+    run = customer_run(spark, d)
+    top = run.golden.where("member_count > 1").orderBy(F.desc("member_count"), "cluster_id").limit(5).select("cluster_id", F.col("member_count").alias("size"), F.col("name_norm").alias("name"))
+    linked = run.decided.where("decision != 'REJECT'").select(F.explode(F.array("a_key", "b_key")).alias("customer_key"))
+    alone = run.norm.join(linked, "customer_key", "left_anti").orderBy(F.asc_nulls_last("name_norm"), "customer_key").limit(10)
+    first = alone.select(F.coalesce("name_norm", "email_norm", "source_customer_id", F.lit("Unknown")).alias("name"), F.coalesce("source_customer_id", "customer_key", F.lit("N/A")).alias("id"))
+    return {"summary": exec_report(spark, d), "top entities": top, "uniques": first}
+
+
+_VIEW = "shown AS (SELECT cluster_id, size FROM sizes ORDER BY cluster_id LIMIT 500), v AS (SELECT customer_key, cluster_id, size, coalesce(name_norm, 'Unknown') AS name, row_number() OVER (PARTITION BY cluster_id ORDER BY ingest_seq) AS k FROM components JOIN shown USING (cluster_id) JOIN norm USING (customer_key))"
+
+
+@query(sql.chain("clusters", f"{_VIEW} SELECT id, label, type FROM (SELECT 'c_' || cluster_id AS id, name || CASE WHEN size > 1 THEN ' (Composite)' ELSE ' (Singleton)' END AS label, 'cluster' AS type, cluster_id, 0 AS k FROM v WHERE k = 1 UNION ALL SELECT 'r_' || customer_key, name, 'record', cluster_id, k FROM v WHERE k <= CASE WHEN size < 100 THEN 50 ELSE 20 END) ORDER BY cluster_id, k LIMIT 5000").replace(")\nshown AS", "),\nshown AS"))
+def graph_view_nodes(spark, d):
+    run = customer_run(spark, d)
+    return graph.view(run.members, run.norm)[0]
+
+
+@query(sql.chain("clusters", f"{_VIEW} SELECT 'r_' || customer_key AS source, 'c_' || cluster_id AS target, 'MEMBER_OF' AS type, 1.0::DOUBLE AS weight FROM v WHERE k <= CASE WHEN size < 100 THEN 50 ELSE 20 END").replace(")\nshown AS", "),\nshown AS"))
+def graph_view_edges(spark, d):
+    run = customer_run(spark, d)
+    return graph.view(run.members, run.norm)[1]
+
+
+@query(sql.chain("golden", "held AS (SELECT min(cluster_id) AS c FROM sizes WHERE size > 1) SELECT cluster_id AS id, 'Cluster-' || left(cluster_id, 8) AS label, 'cluster' AS type FROM sizes WHERE cluster_id = (SELECT c FROM held) UNION ALL SELECT customer_key, coalesce(name_norm, 'Unknown'), 'record' FROM components JOIN norm USING (customer_key) WHERE cluster_id = (SELECT c FROM held) UNION ALL SELECT 'golden_' || cluster_id, 'Golden: ' || coalesce(name_norm, 'Record'), 'golden_record' FROM golden WHERE cluster_id = (SELECT c FROM held)").replace(")\nheld AS", "),\nheld AS"))
+def graph_one_cluster(spark, d):
+    """The nodes of one cluster, with its golden record."""
+    run = customer_run(spark, d)
+    wanted = components.sizes(run.members).where("size > 1").agg(F.min("cluster_id")).first()[0]
+    return graph.one_cluster(run.members, run.norm, run.golden, wanted or "")[0]
+
+
+_MAP = lambda fields: "concat_ws('|', " + ", ".join(f"'{f}=' || {f}" for f in fields) + ")"
+
+
+@query(sql.chain("golden", f"SELECT cluster_id AS id, 'Entity' AS type, {_MAP(['city_norm', 'email_norm', 'name_norm', 'phone_norm'])} AS properties FROM golden UNION ALL SELECT source_system || ':' || source_customer_id, 'Record', {_MAP(['dob_norm', 'email_norm', 'name_norm', 'natid_norm', 'phone_norm'])} FROM norm"))
+def graph_properties(spark, d):
+    """The nodes of the property graph with what they carry, nulls left out."""
+    run = customer_run(spark, d)
+    nodes, _ = graph.projection(run.members, run.norm, run.golden)
+    pairs = F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return nodes.select("id", "type", F.array_join(pairs, "|").alias("properties"))
+
+
+@query(sql.chain("clusters", "SELECT (SELECT count(*) FROM sizes) AS clusters, (SELECT count(*) FROM components) AS members, (SELECT count(*) FROM decided WHERE decision = 'AUTO_LINK') AS matches, (SELECT count(*) FROM decided WHERE decision = 'REVIEW') AS reviews, (SELECT count(*) FROM components) AS member_of"))
+def graph_stats(spark, d):
+    """Nodes and edges of each kind."""
+    run = customer_run(spark, d)
+    n = run.members.agg(F.count_distinct("cluster_id").alias("clusters"), F.count(F.lit(1)).alias("members"), F.count(F.lit(1)).alias("member_of"))
+    return n.crossJoin(run.decided.agg(F.count_if(F.col("decision") == "AUTO_LINK").alias("matches"), F.count_if(F.col("decision") == "REVIEW").alias("reviews")))
+
+
+@query(sql.chain("pairs", "SELECT (SELECT count(*) FROM pairs p JOIN norm a ON a.customer_key = a_key JOIN norm b ON b.customer_key = b_key WHERE a.true_ident = b.true_ident) AS found, (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM norm GROUP BY true_ident)) AS true_pairs"))
+def blocking_recall(spark, d):
+    """Pairs of one identity that blocking finds, of how many there are."""
+    run = customer_run(spark, d)
+    return blocking.recall(run.pairs, run.norm, "true_ident").withColumnRenamed("true", "true_pairs")
+
+
 @query("SELECT * FROM (VALUES (66, 21, 2, 2, 17, 8, 6, 2)) v(keys, candidates, auto_links, reviews, rejects, clusters, singletons, uniques)")
 def demo_pipeline_counts(spark, d):
     """The ten demo customers through the whole pipeline."""
@@ -485,5 +690,3 @@ def demo_pipeline_counts(spark, d):
         out = out.crossJoin(p)
     return out
 
-
-_ = audit

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from kinmesh.config import ScoringConfig
+from kinmesh.functions.text import ADDRESS_WORDS
+
 # The test relation, records in three spellings for every three customers.
 SOURCE = """
 b AS (
@@ -28,9 +31,11 @@ src AS (SELECT rid AS ingest_seq, concat('C', lpad(CAST(rid AS STRING), 8, '0'))
 FROM n)
 """
 
+# Letters with a Soundex digit, and their digits.
 _CODES = "BFPVCGJKQSXZDTLMNR"
 _DIGITS = "111122222222334556"
-_WORDS = [("STREET", "ST"), ("ROAD", "RD"), ("AVENUE", "AVE"), ("BOULEVARD", "BLVD"), ("DRIVE", "DR"), ("LANE", "LN"), ("COURT", "CT"), ("APARTMENT", "APT"), ("SUITE", "STE"), ("BUILDING", "BLDG"), ("FLOOR", "FL"), ("NORTH", "N"), ("SOUTH", "S"), ("EAST", "E"), ("WEST", "W")]
+_WORDS = ADDRESS_WORDS
+# The date patterns of functions.text in the notation of SQL.
 _DATES = ["%Y-%m-%d", "%d-%m-%Y", "%m-%d-%Y", "%Y/%m/%d", "%d/%m/%Y", "%m/%d/%Y", "%d.%m.%Y", "%Y%m%d", "%d %b %Y", "%d %B %Y"]
 
 
@@ -117,8 +122,8 @@ pairs AS (
   SELECT a.customer_key AS a_key, b.customer_key AS b_key, string_agg(DISTINCT a.method, ',' ORDER BY a.method) AS reasons, min(a.block_key) AS block_key_sample, a.customer_key || ':' || b.customer_key AS pair_id
   FROM kept a JOIN kept b ON a.block_key = b.block_key AND a.customer_key < b.customer_key GROUP BY 1, 2)"""
 
-WEIGHTS = {"name": 0.25, "phone": 0.20, "email": 0.20, "dob": 0.15, "natid": 0.15, "address": 0.05}
-FUZZY = {"name": 0.85, "address": 0.80}
+WEIGHTS = ScoringConfig().weights
+FUZZY = {"name": ScoringConfig().name_fuzzy, "address": ScoringConfig().address_fuzzy}
 
 
 def _kind(f: str) -> str:

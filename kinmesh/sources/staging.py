@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmesh.functions.text import some
+from kinmesh.sources import workbook
+from kinmesh.storage import exists
+
+log = logging.getLogger(__name__)
 
 # Header names, lower case without blanks and underscores.
 FIRST = ["cusnmf", "firstname", "fname", "givenname", "mn", "first", "firstnm"]
 LAST = ["cusnml", "lastname", "lname", "surname", "familyname", "last", "lastnm", "familynm"]
 FULL = ["name", "fullname", "cusname", "customername", "entity", "company", "organization", "entityname", "partyname", "clientname", "companyname"]
 SPARE = ["description", "desc", "label", "title", "remarks", "notes"]
-HANDLED = ["cusnmf", "cusnml", "firstname", "lastname", "fname", "lname", "givenname", "surname", "name", "fullname"]
 # Parts of header names in the order of their priority.
 ROUTES = [
     ("phone", ["phone", "mobile", "teleno", "moblno", "cell", "telxno"]), ("email", ["email", "mail"]), ("dob", ["dob", "birth"]), ("address", ["addr", "adrs", "street"]),
@@ -39,11 +43,58 @@ DEMO = [
 ]
 
 
-def csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A staging file with header, every column a string. encoding: ISO-8859-1 for files that aren't UTF-8."""
+def csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """A staging file with header, every column a string; without an encoding UTF-8, and ISO-8859-1 if the file isn't that."""
+    if encoding is None:
+        # what is no UTF-8 is decoded to the replacement character
+        broken = spark.read.text(path).where(F.col("value").contains("\ufffd"))
+        encoding = "UTF-8" if broken.isEmpty() else "ISO-8859-1"
     return spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding).csv(path)
 
 
+def first_existing(spark: SparkSession, *paths: str | None) -> str | None:
+    """The first of several places at which there is a file."""
+    return next((p for p in paths if p and exists(spark, p)), None)
+
+
+def staged(spark: SparkSession, *paths: str | None) -> DataFrame | None:
+    """The staging file at the first of several places that has one; None if no place has or it can't be read."""
+    path = first_existing(spark, *paths)
+    try:
+        return csv(spark, path) if path else None
+    except Exception:
+        log.warning("staging file %s can't be read", path, exc_info=True)
+        return None
+
+
+#: Kinds of files that can be uploaded.
+UPLOADS = ("xls", "xlsx", "csv")
+
+
+def upload(spark: SparkSession, path: str) -> DataFrame:
+    """An uploaded file as strings; ValueError for other kinds and for files without rows."""
+    kind = path.lower().rsplit(".", 1)[-1]
+    if kind not in UPLOADS:
+        raise ValueError(f"a file of kind {kind} can't be read, only {', '.join(UPLOADS)}")
+    return require_rows(csv(spark, path) if kind == "csv" else workbook.read(spark, path))
+
+
+def records_or_fallback(spark: SparkSession, raw: DataFrame | None, *paths: str | None) -> DataFrame:
+    """The given records; if there are none the staging file, and if that is missing or empty the demo customers."""
+    for df in (lambda: raw, lambda: staged(spark, *paths)):
+        found = df()
+        if found is not None and not found.isEmpty():
+            return found
+    return demo(spark)
+
+
+def stats(new: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One row: staged records and records in all."""
+    n = new.agg(F.count(F.lit(1)).alias("new_records"))
+    total = known.agg(F.count(F.lit(1)).alias("known")) if known is not None else n.select(F.lit(0).alias("known"))
+    return n.crossJoin(total).select("new_records", (F.col("new_records") + F.col("known")).alias("total_records"))
+
+
 def require_rows(df: DataFrame) -> DataFrame:
     if df.isEmpty():
         raise ValueError("no input records")
@@ -80,9 +131,10 @@ def name_of(first: Column, last: Column, full: Column, spare: Column) -> Column:
     return F.coalesce(joined, some(full), some(spare))
 
 
-def name_fallback(name: Column, email: Column, phone: Column, customer: Column, natid: Column) -> Column:
+def name_fallback(name: Column, email: Column, phone: Column, customer: Column, natid: Column, others: list[Column] = ()) -> Column:
+    """A stand-in for a missing name: mail, phone, numbers, and at last any text of more than two characters."""
     nonempty = lambda c: F.nullif(c, F.lit(""))
-    return F.coalesce(name, F.substring_index(nonempty(email), "@", 1), F.concat(F.lit("Phone: "), nonempty(phone)), F.concat(F.lit("ID: "), nonempty(customer)), F.concat(F.lit("NID: "), nonempty(natid)))
+    return F.coalesce(name, F.substring_index(nonempty(email), "@", 1), F.concat(F.lit("Phone: "), nonempty(phone)), F.concat(F.lit("ID: "), nonempty(customer)), F.concat(F.lit("NID: "), nonempty(natid)), *[F.when(F.length(c) > 2, c) for c in others])
 
 
 def mapped(df: DataFrame) -> DataFrame:
@@ -104,8 +156,8 @@ def mapped(df: DataFrame) -> DataFrame:
     parts = sorted(by.get("address", []), key=lambda n: "1" not in header(n))
     address = F.nullif(F.concat_ws(" ", *[some(F.col(f"`{n}`")) for n in parts]), F.lit("")) if parts else F.lit(None).cast("string")
     found = {"phone": _first([some(F.col(f"`{n}`")) for n in phones]), "email": latest("email"), "dob": latest("dob"), "address": address, "city": latest("city"), "natid": latest("natid"), "source_customer_id": latest("source_customer_id")}
-    name = name_fallback(name_of(latest("first_name"), latest("last_name"), full, spare), found["email"], found["phone"], found["source_customer_id"], found["natid"])
-    meta = [_first(cols(m)).alias(m) for m in METADATA.values()]
+    name = name_fallback(name_of(latest("first_name"), latest("last_name"), full, spare), found["email"], found["phone"], found["source_customer_id"], found["natid"], [*(found[f] for f in ("dob", "address", "city")), *(some(F.col(f"`{n}`")) for n in df.columns if df.schema[n].dataType.simpleString() == "string")])
+    meta = [_first(cols(m)).alias(m) for m in METADATA.values()] + [_first([some(F.col(f"`{n}`")) for n in phones if ("mob" in header(n)) == mobile]).alias(name_) for name_, mobile in (("mobile", True), ("landline", False))]
     keep = [F.col(f"`{n}`") for n in df.columns if n.lower() in ("ingest_seq", "source_system")]
     return df.select(*keep, name.alias("name"), *[c.alias(t) for t, c in found.items()], F.struct(*meta).alias("metadata")).where("name is not null")
 
