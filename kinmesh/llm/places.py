@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,13 +57,22 @@ _ORDINAL = re.compile(r"^[0-9]+(?:ST|ND|RD|TH)$")
 _GERMAN = re.compile(r"^(.{5,}?)(STRASSE|PLATZ|ALLEE|WEG|STR|PL|AL|W)$")
 
 
+_CALLE = re.compile(r"\bC/")
+_CALLE_AS_WRITTEN = re.compile(r"\b[Cc]/")
+_BREAK = re.compile(r"[,;/]|\s-\s")
+_OTHER_ASCII = re.compile(r"[^A-Z0-9#]+")
+
+
 def plain(text: str) -> str:
     """Upper case words without accents; # is kept."""
+    if text.isascii():  # most addresses are
+        return " ".join(_OTHER_ASCII.sub(" ", _CALLE.sub(" CALLE ", text.upper()).replace("'", "")).split())
     t = re.sub(r"N\s?[º°]\.?", " NO ", re.sub(r"\bP\.?\s?[º°]", " PASEO ", re.sub(r"\bC/", " CALLE ", text.upper())))
     t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
     return " ".join(re.sub(r"(?:[^\w#]|_)+", " ", t.replace("'", "")).split())
 
 
+@lru_cache(16_384)
 def locality(text: str | None) -> str:
     """A locality as one string without spaces, its usual abbreviations written out."""
     ws = plain(text or "").replace("#", " ").split()
@@ -76,9 +86,9 @@ def _segments(parts: list[str | None]) -> list[str]:
     """Pieces of an address that stand for something; a piece of numbers and kinds alone joins its neighbour."""
     out: list[str] = []
     held = ""
-    for part in parts:
-        for piece in re.split(r"[,;/]|\s-\s", re.sub(r"\b[Cc]/", "CALLE ", part or "")):
-            t = plain(piece)
+    for part in filter(None, parts):
+        for piece in _BREAK.split(_CALLE_AS_WRITTEN.sub("CALLE ", part)):
+            t = plain(piece) if piece else ""
             if not t or _ASIDE.match(t):
                 continue
             bare = all(w in _EMPTY_WORDS or any(c.isdigit() for c in w) and not _ORDINAL.match(w) for w in t.replace("#", " ").split())
@@ -100,6 +110,8 @@ def readings(ws: list[str]) -> Iterator[tuple[float, list[str], str, str]]:
     """
     yield 0.0, ws, "", ""
     n = len(ws)
+    if n < 2 or not any(w in m for w in (ws[0], ws[-1]) for m in (KIND_OF, WAY_OF)):
+        return
     front = [((), "", "", 0.0)] if n else []
     if n > 1:
         k, w = KIND_OF.get(ws[0], ""), WAY_OF.get(ws[0], "")
