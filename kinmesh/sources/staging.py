@@ -46,8 +46,7 @@ DEMO = [
 def csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """A staging file with header, every column a string; without an encoding UTF-8, and ISO-8859-1 if the file isn't that."""
     if encoding is None:
-        # what is no UTF-8 is decoded to the replacement character
-        broken = spark.read.text(path).where(F.col("value").contains("\ufffd"))
+        broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
         encoding = "UTF-8" if broken.isEmpty() else "ISO-8859-1"
     return spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding).csv(path)
 
