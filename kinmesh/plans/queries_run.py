@@ -346,7 +346,7 @@ def referee_parse(spark, d):
 
 
 def _template_sql() -> str:
-    line = lambda f: f"'- **{f}_norm**: ' || {f}_kind || ' (' || printf('%.0f%%', round(100 * " + (f"{f}_sim" if f in sql.FUZZY else f"CASE WHEN {f}_kind = 'exact_match' THEN 1.0 ELSE 0.0 END") + ", 0)) || ')' || chr(10)"
+    line = lambda f: f"'- **{f}_norm**: ' || {f}_kind || ' (' || printf('%.0f%%', round(100 * round(" + (f"{f}_sim" if f in sql.FUZZY else f"CASE WHEN {f}_kind = 'exact_match' THEN 1.0 ELSE 0.0 END") + ", 6), 0)) || ')' || chr(10)"
     lines = f"CASE WHEN same_hash THEN '- **record_hash**: exact_match (100%)' || chr(10) ELSE {' || '.join(line(f) for f in sql.WEIGHTS)} END"
     return f"SELECT pair_id, '## Match Analysis (Template Fallback)' || chr(10) || '**Match Score:** ' || printf('%.1f%%', round(100 * score, 1)) || chr(10) || chr(10) || '### Evidence:' || chr(10) || {lines} || chr(10) || '### Guidance:' || chr(10) || 'Please review the fields manually.' AS text FROM decided"
 
