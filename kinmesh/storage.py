@@ -66,9 +66,11 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n}"
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """by: a column of few values, each of which gets a folder of its own."""
         path = self.path()
-        df.write.mode("overwrite").parquet(path)
+        out = df.write.mode("overwrite")
+        (out.partitionBy(by) if by else out).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._kinmesh_path = path
         return back
