@@ -130,19 +130,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """
     runs = table(spark, d, "runs").groupBy("run_id").agg(F.max("started_at").alias("at"), F.max(label(F.col("mode")) == "DELTA").alias("asks"))
     customers = table(spark, d, "customers_norm").withColumn("id", F.coalesce("ingest_seq", F.xxhash64("customer_key")))
-    people = person.prepared(customers, "id", "run_id").join(runs, "run_id").select("id", F.coalesce("src", F.lit("")).alias("scope"), "at", F.coalesce("asks", F.lit(False)).alias("asks"), *increments.FIELDS)
-    said = people.agg(F.count(F.lit(1)), F.percentile_approx(F.unix_micros("at"), [i / DELIVERIES for i in range(1, DELIVERIES)], 10_000)).first()
-    edges = [None, *(said[1] or []), None]
+    at = F.unix_micros("at")
+    said = customers.select("run_id").join(runs, "run_id").agg(F.count(F.lit(1)), F.percentile_approx(at, [i / DELIVERIES for i in range(1, DELIVERIES)], 10_000)).first()
+    scratch = Scratch(spark, "deliveries")
+    first = scratch.put(person.profile(customers, "id", "run_id"))
+    batch = sum((F.when(at > edge, 1).otherwise(0) for edge in said[1] or []), F.lit(0))
+    people = person.without_shared(first).join(runs, "run_id").where("at is not null")
+    people = people.select("id", F.coalesce("src", F.lit("")).alias("scope"), "at", F.coalesce("asks", F.lit(False)).alias("asks"), *increments.FIELDS, batch.alias("batch"))
+    people = scratch.put(people, by="batch")
+    scratch.drop(first)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), said[0] * increments.BANDS // 4_000_000)
     place = Scratch(spark, "history")
     history = increments.History(spark, place.root, buckets)
     found = []
-    for lo, hi in zip(edges, edges[1:]):
-        at = F.unix_micros("at")
-        after, upto = at > lo if lo is not None else F.lit(True), at <= hi if hi is not None else F.lit(True)
-        found.append(history.deliver(people.where(after & upto)).select("id"))
+    for k in range(DELIVERIES):
+        found.append(history.deliver(people.where(F.col("batch") == k).drop("batch")).select("id"))
     history.forget()
     place.sweep()
+    scratch.sweep()
     return customers.join(reduce(DataFrame.unionByName, found), "id", "left_semi").select("customer_key")
 
 

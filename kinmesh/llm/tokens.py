@@ -126,8 +126,10 @@ def pieces(spark, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, text) from (key, ids); ids without a piece give a null text."""
-    flat = coded.select("key", F.posexplode("ids").alias("pos", "id"))
+    # one pass over the rows, so their numbers are read once only
+    flat = coded.select(F.monotonically_increasing_id().alias("row"), "key", "ids").select("row", "key", F.posexplode_outer("ids").alias("pos", "id"))
     known = flat.join(F.broadcast(pieces(coded.sparkSession, vocabulary)), "id", "left")
-    listed = known.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("hex")))).alias("parts"), F.count_if(F.col("piece").isNull()).alias("lost"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.hex("piece").alias("hex"))))).alias("parts")
+    listed = known.groupBy("row", "key").agg(parts, F.count_if(F.col("pos").isNotNull() & F.col("piece").isNull()).alias("lost"))
     text = F.when(F.col("lost") == 0, F.decode(F.unhex(F.array_join("parts.hex", "")), "UTF-8"))
-    return coded.select("key").join(listed.select("key", text.alias("text"), F.lit(True).alias("any")), "key", "left").select("key", F.when(F.col("any"), F.col("text")).otherwise("").alias("text"))
+    return listed.select("key", text.alias("text"))

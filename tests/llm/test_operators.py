@@ -326,6 +326,17 @@ def test_tokens_round_trip(spark):
     assert tokens.encode(df.where("false"), "id", "text").count() == 0
 
 
+def test_tokens_of_repeated_keys(spark):
+    """Rows with one key, or none, keep their own ids."""
+    rows = [(1, "alpha beta"), (1, "gamma"), (1, "gamma"), (None, "delta zzqx"), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    ids = sorted(((r.key or 0), len(r.ids)) for r in tokens.encode(df, "id", "text").collect())
+    sizes = sorted(((r.key or 0), r.tokens) for r in tokens.lengths(df, "id", "text").collect())
+    assert ids == sizes and len(ids) == 6 and ids[0] == (0, 0) and ids[-1] == (2, 0)
+    back = sorted(((r.key or 0), r.text) for r in tokens.decode(tokens.encode(df.where("id = 2 or text like 'delta%'"), "id", "text")).collect())
+    assert back == [(0, "delta zzqx"), (2, "")]
+
+
 # ---- 9
 
 
