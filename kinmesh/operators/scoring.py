@@ -95,27 +95,31 @@ def decide(cfg: ScoringConfig) -> Column:
     return F.when(F.size("hard_conflicts") > 0, "REJECT").when((s >= cfg.auto) & ((F.size("signals_hit") >= 2) | (s >= 0.98)), "AUTO_LINK").when(s >= cfg.review, "REVIEW").otherwise("REJECT")
 
 
-def _said(field: str, kind: Column, sim: Column) -> Column:
+def _said(field: Column, kind: Column, sim: Column) -> Column:
     """What a comparison is explained by."""
     # Texts of the explanations.
-    fuzzy = field in ("name_norm", "address_norm")
     share = F.format_string("%.1f%%", F.round(100 * sim, 1))
-    about = lambda head: F.concat(F.lit(f"{head} similarity ("), share, F.lit(f") on {field}"))
+    about = lambda head: F.concat(F.lit(f"{head} similarity ("), share, F.lit(") on "), field)
     return (
-        F.when(kind == "both_null", "Both values are null - no evidence").when(kind == "one_null", f"One value is null ({field})").when(kind == "exact_match", f"Exact match on {field}")
-        .when(kind == "fuzzy_match", about("High")).when(kind == "low_similarity", about("Moderate")).otherwise(about("Low") if fuzzy else F.lit(f"Values differ for {field}"))
+        F.when(kind == "both_null", "Both values are null - no evidence").when(kind == "one_null", F.concat(F.lit("One value is null ("), field, F.lit(")"))).when(kind == "exact_match", F.concat(F.lit("Exact match on "), field))
+        .when(kind == "fuzzy_match", about("High")).when(kind == "low_similarity", about("Moderate")).when(field.isin("name_norm", "address_norm"), about("Low")).otherwise(F.concat(F.lit("Values differ for "), field))
     )
 
 
 def evidence() -> Column:
-    """The comparison of each field as an array of structs of seven; one element for pairs of equal hash."""
+    """The comparison of each field as an array of structs of seven; one element for pairs of equal hash.
+
+    The explanation is added by one expression for all fields, which keeps the generated code small.
+    """
 
     def item(field, a, b, kind, sim, gain):
-        return F.struct(F.lit(field).alias("field"), a.alias("value_a"), b.alias("value_b"), kind.alias("type"), F.round(sim, 6).alias("similarity"), F.round(gain, 6).alias("weight"), _said(field, kind, sim).alias("explanation"))
+        return F.struct(F.lit(field).alias("field"), a.alias("value_a"), b.alias("value_b"), kind.alias("type"), sim.alias("similarity"), gain.alias("weight"))
 
     items = [item(f"{f}_norm", F.col(f"a_{f}_norm"), F.col(f"b_{f}_norm"), F.col(f"{f}_kind"), F.col(f"{f}_sim"), F.col(f"{f}_gain")) for f in FIELDS]
     whole = item("record_hash", F.col("a_record_hash"), F.col("b_record_hash"), F.lit("exact_match"), F.lit(1.0), F.lit(1.0))
-    return F.when(F.col("same_hash"), F.array(whole)).otherwise(F.array(*items))
+    every = F.when(F.col("same_hash"), F.array(whole)).otherwise(F.array(*items))
+    keep = lambda e: [e[n].alias(n) for n in ("field", "value_a", "value_b", "type")]
+    return F.transform(every, lambda e: F.struct(*keep(e), F.round(e["similarity"], 6).alias("similarity"), F.round(e["weight"], 6).alias("weight"), _said(e["field"], e["type"], e["similarity"]).alias("explanation")))
 
 
 def decisions(pairs: DataFrame, norm: DataFrame, cfg: ScoringConfig) -> DataFrame:
