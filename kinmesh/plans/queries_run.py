@@ -549,9 +549,10 @@ def preview_edges(spark, d):
 @query(sql.chain("clusters", "SELECT count(*) FILTER (WHERE size > 1) AS clusters, (SELECT count(*) FROM norm) AS records, (SELECT count(*) FROM decided WHERE decision = 'REVIEW') AS reviews FROM sizes").replace("round(score, 9) >= 0.90", "round(score, 9) >= 0.95"))
 def preview_clusters(spark, d):
     """What-if: the counters of the same run decided with a stricter threshold."""
-    run, strict = customer_run(spark, d), _strict(spark, d)
-    sized = components.sizes(strict.members).agg(F.count_if(F.col("size") > 1).alias("clusters"))
-    return sized.crossJoin(run.norm.agg(F.count(F.lit(1)).alias("records"))).crossJoin(strict.decided.agg(F.count_if(F.col("decision") == "REVIEW").alias("reviews")))
+    run = customer_run(spark, d)
+    links, reviews = components.thinned(run.streamed(replace(CFG, auto=0.95)))
+    sized = components.sizes(components.connected_components(links)).agg(F.count_if(F.col("size") > 1).alias("clusters"))
+    return sized.crossJoin(run.norm.agg(F.count(F.lit(1)).alias("records"))).crossJoin(reviews)
 
 
 @query(sql.chain("clusters", "before AS (SELECT customer_key, customer_key AS cluster_id FROM norm) SELECT b.customer_key, b.cluster_id, b.cluster_id = c.cluster_id AS is_open FROM before b JOIN components c USING (customer_key) UNION ALL SELECT c.customer_key, c.cluster_id, true FROM components c WHERE c.customer_key <> c.cluster_id").replace(")\nbefore AS", "),\nbefore AS"))
