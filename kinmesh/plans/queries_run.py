@@ -359,12 +359,12 @@ def referee_template(spark, d):
 @query(sql.chain("decided", "SELECT pair_id, CASE WHEN pair_id < '8' THEN 'UNSURE' WHEN conflicts <> '' THEN 'NO_MATCH' WHEN round(score, 9) > 0.85 THEN 'MATCH' WHEN round(score, 9) < 0.45 THEN 'NO_MATCH' ELSE 'UNSURE' END AS judgement, CASE WHEN pair_id < '8' THEN 'written model' ELSE 'rules' END AS model FROM decided"))
 def explain_view(spark, d):
     """Explanations kept as JSON lines (here of the pairs before '8', written twice) go before those made by rule."""
-    run = customer_run(spark, d)
+    pairs = customer_run(spark, d).streamed()
     path = Scratch(spark, "explanations").path()
-    some = explanations.made(run.decided.where("pair_id < '8'"), CFG)
+    some = explanations.made(pairs.where("pair_id < '8'"), CFG)
     explanations.append(some.withColumn("model_name", F.lit("first model")), path)
     explanations.append(some.withColumns({"model_name": F.lit("written model"), "judgement": F.lit(None).cast("string")}), path)
-    return explanations.view(run.decided, explanations.read(spark, path), CFG).select("pair_id", "judgement", "model")
+    return explanations.view(pairs, explanations.read(spark, path), CFG).select("pair_id", "judgement", "model")
 
 
 @query("SELECT r.run_id, CASE WHEN coalesce(records_in, 0) * 1.0 / t < 0.2 THEN 'DELTA' ELSE 'FULL' END AS mode FROM runs r, (SELECT sum(records_in) AS t FROM runs)")
